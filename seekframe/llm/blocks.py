@@ -77,9 +77,9 @@ def slices(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
 class Words:
     """The words of a block: ``start`` and ``end`` in ``data``, and ``first[d]:first[d + 1]`` of document d."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray):
+    def __init__(self, data: np.ndarray, at: np.ndarray, separator: np.ndarray = _SEPARATOR):
         self.data, self.at = data, at
-        inside = ~_SEPARATOR[data]
+        inside = ~separator[data]
         before = np.empty(len(data), bool)
         before[:1] = False
         before[1:] = inside[:-1]
@@ -162,3 +162,28 @@ def written(frame: DataFrame, name: str, partition: str | None = None) -> DataFr
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     (frame.write.partitionBy(partition) if partition else frame.write).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+#: Runs of ASCII letters and of bytes of longer characters.
+LETTER_BREAK = np.ones(256, bool)
+LETTER_BREAK[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def letter_runs(data: np.ndarray, at: np.ndarray, most: int | None = None) -> Words:
+    """Letter runs of a block; runs longer than ``most`` bytes are cut into pieces of that many."""
+    runs = Words(data, at, LETTER_BREAK)
+    if most is not None and len(runs) and (runs.end - runs.start).max() > most:
+        pieces = -(-(runs.end - runs.start) // most)
+        number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        end = np.repeat(runs.end, pieces)
+        runs.start = np.repeat(runs.start, pieces) + number * most
+        runs.end = np.minimum(runs.start + most, end)
+        runs.first = np.searchsorted(runs.start, at)
+    return runs
+
+
+def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, the same ones each time: those with the smallest hashes of the key."""
+    from pyspark.sql import functions as F
+
+    return rows.orderBy(F.xxhash64(key), key).limit(most)

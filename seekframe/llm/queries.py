@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, warc
+from . import chat, langid, toxicity, warc
 from .blocks import read
 
 
@@ -60,8 +60,30 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, pay
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to, CAST(capture_position AS BIGINT) AS capture_position, url_key FROM f"""
 
+#: Categories of the classifier chain over the columns of labels, in the order of prediction.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of every document; toxic from one half."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(documents, read(spark, sf_dir, "labels"), CATEGORIES)
+    scored = toxicity.predict(documents, chain)
+    return scored.select("doc_id", *(F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CATEGORIES), (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those outside fold 2 of 4."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.fold("doc_id", 4) == 2)
+    net = langid.fit(documents.where("not held_out"))
+    scored = langid.predict(documents.select("doc_id", "text", "held_out"), net)
+    return scored.select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op5_warc": op5_warc,
+    "op8_toxicity": op8_toxicity,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_warc": OP5_SQL}
