@@ -183,7 +183,12 @@ def letter_runs(data: np.ndarray, at: np.ndarray, most: int | None = None) -> Wo
 
 
 def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows, the same ones each time: those with the smallest hashes of the key."""
+    """At most ``most`` rows, the same ones each time: those with the smallest hashes of the key.
+
+    Rows are counted first, so that each task passes on only its share of the smallest hashes.
+    """
     from pyspark.sql import functions as F
 
-    return rows.orderBy(F.xxhash64(key), key).limit(most)
+    share = min(1.0, (2 * most + 100) / max(1, rows.count()))
+    near = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32)) < int(share * (1 << 32)) + 1)
+    return near.orderBy(F.xxhash64(key), key).limit(most)

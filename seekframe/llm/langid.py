@@ -204,7 +204,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, most_documents: int = MOST_DOCUMENTS, most_runs: int = MOST_RUNS, steps: int = 1500) -> BiGRU:
     """Trains on a sample of at most ``most_documents`` rows of (doc_id, text, lang), and at most ``most_runs`` distinct letter runs of them."""
-    rows = sampled(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), "doc_id", most_documents)
+    usable = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    ids = sampled(usable.select("doc_id"), "doc_id", most_documents).distinct()  # at most most_documents ids
+    rows = usable.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang")
     counts = rows.select("lang", "text").mapInArrow(_counted, "lang string, run binary, n long").groupBy("run").agg(F.collect_list(F.struct("lang", "n")).alias("seen"))
     found = sampled(counts, "run", most_runs).collect()
     languages = sorted({s["lang"] for r in found for s in r["seen"]})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, toxicity, warc
+from . import chat, langid, secrets, toxicity, warc
 from .blocks import read
 
 
@@ -19,6 +19,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chats(chat.format_chats(turns))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and inferred secret spans of every document."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.find(documents, secrets.fit(documents))
+
+
 _ESC = r"replace(replace(replace({0}, '\', '\\'), '#', '\#'), '<', '\<')"
 OP2_SQL = f"""
 WITH t AS (
@@ -82,6 +88,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_secrets": op3_secrets,
     "op5_warc": op5_warc,
     "op8_toxicity": op8_toxicity,
     "op10_language_id": op10_language_id,
