@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, secrets, toxicity, warc
+from . import chat, langid, secrets, sentencepiece, toxicity, warc
 from .blocks import read
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece.decode(sentencepiece.encode(documents))
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
+    return both.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", same.alias("round_trip"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -7, whose texts hold the template's own marks, formatted and read back."""
     said = "\\### Assistant: </turn> ok"
@@ -87,6 +95,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_secrets": op3_secrets,
     "op5_warc": op5_warc,
