@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, secrets, sentencepiece, toxicity, warc
+from . import chat, decontam, langid, secrets, sentencepiece, toxicity, warc
 from .blocks import read
 
 
@@ -74,6 +74,12 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, pay
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to, CAST(capture_position AS BIGINT) AS capture_position, url_key FROM f"""
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item whose question and answer it holds."""
+    found = decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
+
+
 #: Categories of the classifier chain over the columns of labels, in the order of prediction.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_secrets": op3_secrets,
     "op5_warc": op5_warc,
+    "op6_decontamination": op6_decontamination,
     "op8_toxicity": op8_toxicity,
     "op10_language_id": op10_language_id,
 }
