@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ _BREAK[48:58] = False
 
 def _words(texts: pa.Array) -> Words:
     """Runs of letters and digits: case, punctuation and markup around a leaked word don't hide it."""
-    return Words(*raw(texts), _BREAK)
+    return Words(*raw(pc.utf8_lower(texts)), _BREAK)
 
 
 def split_item(text: str) -> tuple[str, str]:
