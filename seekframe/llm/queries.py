@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, secrets, sentencepiece, toxicity, warc
+from . import chat, decontam, langid, lm, secrets, sentencepiece, toxicity, warc
 from .blocks import read
 
 
@@ -92,6 +92,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *(F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CATEGORIES), (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and context-tree scores of every document, learnt from those outside fold 2 of 7."""
+    return lm.score(read(spark, sf_dir, "documents").select("doc_id", "text", (langid.fold("doc_id", 7) == 2).alias("held_out")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from those outside fold 2 of 4."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.fold("doc_id", 4) == 2)
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_warc": OP5_SQL}
