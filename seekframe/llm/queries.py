@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lm, secrets, sentencepiece, toxicity, warc
+from . import chat, decontam, langid, lm, ngram_join, secrets, sentencepiece, toxicity, warc
 from .blocks import read
 
 
@@ -80,6 +80,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document: five words, four fifths."""
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 #: Categories of the classifier chain over the columns of labels, in the order of prediction.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
+    "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
