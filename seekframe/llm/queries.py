@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lm, ngram_join, secrets, sentencepiece, toxicity, warc
+from . import chat, decontam, langid, lm, ngram_join, quality, secrets, sentencepiece, toxicity, warc
 from .blocks import read
 
 
@@ -55,6 +55,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brief.join(history, (brief["file"] == history["in_file"]) & (brief["record"] == history["in_record"])).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_position", "url_key")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, fixed rules and the likelihood ratio's verdict for every document."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.assess(documents, quality.ratios(quality.counts(documents, read(spark, sf_dir, "labels"))))
+
+
 OP5_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, coalesce(url, '') AS url, coalesce(url, '') AS u,
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_secrets": op3_secrets,
+    "op4_quality": op4_quality,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op7_ngram_join": op7_ngram_join,
