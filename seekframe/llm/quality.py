@@ -39,13 +39,17 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return split.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("s", F.transform(signs, lambda w: F.xxhash64(w, F.lit(1))))
 
 
+def _pairs(name: str, buckets: int) -> Column:
+    """Bucket numbers of neighbours in an array of hashes."""
+    pair = lambda x, i: F.pmod(F.xxhash64(x, F.get(name, i + 1)), F.lit(buckets)).cast("int")
+    return F.slice(F.transform(name, pair), 1, F.greatest(F.size(name) - 1, F.lit(0)))
+
+
 def _buckets(buckets: int) -> Column:
     """Bucket numbers from 0 of all words, pairs, signs and sign pairs of a row with h and s."""
 
     def of(name: str) -> Column:
-        pair = lambda x, i: F.pmod(F.xxhash64(x, F.get(name, i + 1)), F.lit(buckets)).cast("int")
-        single = F.transform(name, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
-        return F.concat(single, F.slice(F.transform(name, pair), 1, F.greatest(F.size(name) - 1, F.lit(0))))
+        return F.concat(F.transform(name, lambda x: F.pmod(x, F.lit(buckets)).cast("int")), _pairs(name, buckets))
 
     return F.concat(of("h"), of("s"))
 
@@ -54,7 +58,8 @@ def counts(documents: DataFrame, labels: DataFrame, trusted: str = "quality = 1"
     """bucket, raw and target: n-grams of all documents, and of the trusted ones among at most ``most`` labels."""
     ids = sampled(labels.where(trusted).where("doc_id is not null").select("doc_id"), "doc_id", most).distinct().withColumn("trusted", F.lit(1))
     rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    grams = _hashed(rows).select("trusted", F.explode(_buckets(buckets)).alias("bucket"))
+    # the outer form: for the other one Spark infers a filter on the array's size, which hashes every text again
+    grams = _hashed(rows).select("trusted", F.explode_outer(_buckets(buckets)).alias("bucket")).where("bucket is not null")
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").cast("long").alias("target"))
 
 
@@ -74,7 +79,8 @@ def rules(rows: DataFrame) -> DataFrame:
     some = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     n = F.size("words").cast("long")
     out = rows.withColumn("windows", F.slice(F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1), F.get("h", i + 2))), 1, F.greatest(F.size("h") - 2, F.lit(0))))
-    out = out.withColumn("sorted", F.sort_array("windows")).withColumn("lines", some)
+    # only texts with a repeated window are sorted
+    out = out.withColumn("sorted", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array("windows")).otherwise(F.array().cast("array<bigint>"))).withColumn("lines", some)
     out = out.withColumn("twice", F.array_distinct(F.filter("sorted", lambda x, i: x == F.get("sorted", i - 1))))
     # where each repeated window starts: looked up, or from pairs (window, place) next to an equal one
     pairs = F.when(F.size("twice") > _FEW, F.array_sort(F.transform("windows", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
@@ -98,9 +104,15 @@ def assess(documents: DataFrame, ratio: list[float], threshold: float = THRESHOL
     """doc_id, the counts, base_failed, score and kept of every document."""
     rows = rules(_hashed(documents.select("doc_id", "text")))
     shared = F.lit(ratio)
-    rows = rows.withColumn("grams", _buckets(len(ratio)))
-    total = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(shared, g))
-    score = F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)
+    n = len(ratio)
+
+    def total(name: str) -> Column:
+        single = F.aggregate(name, F.lit(0.0), lambda a, x: a + F.get(shared, F.pmod(x, F.lit(n)).cast("int")))
+        return single + F.aggregate(_pairs(name, n), F.lit(0.0), lambda a, g: a + F.get(shared, g))
+
+    size = lambda name: F.size(name) + F.greatest(F.size(name) - 1, F.lit(0))
+    grams = size("h") + size("s")
+    score = F.when(grams > 0, (total("h") + total("s")) / grams).otherwise(0.0)
     rows = rows.withColumn("score", score)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return rows.select(*names, (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), F.round("score", 4).alias("score"))
