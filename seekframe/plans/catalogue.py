@@ -1,4 +1,441 @@
 """The registered queries of the search engine and SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import languages, text
+from ..functions.languages import SCOPES, WEIGHTS
+from ..operators import extract, grammar, ignore, search, sync
+from ..sources import store
+from ..streaming import watch
+from . import views
+
+Call = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Call] = {}
+ORACLE_SQL: dict[str, str] = {}
+_RESULT = 'kind, label, description, detail, CAST(score AS INTEGER) AS score, workspace_folder, relative_path, line, "character", preview'
+
+
+def _add(name: str, call: Call, sql: str | None = None) -> None:
+    QUERIES[name] = call
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# ---- SQL twins of the search forms, tiers and ranking
+
+
+def _forms(x: str, prefix: str = "") -> str:
+    base = f"regexp_extract(regexp_replace(lower({x}), '/+$', ''), '[^/]*$')"
+    sep = lambda v: f"trim(regexp_replace(lower({v}), '[\\s._/-]+', '-', 'g'), '-')"
+    return (
+        f"lower({x}) AS {prefix}norm, {sep(x)} AS {prefix}sep, regexp_replace(lower({x}), '[\\s._/-]+', '', 'g') AS {prefix}comp, {base} AS {prefix}base, "
+        f"CASE WHEN {base} = '..' THEN '..' ELSE regexp_replace({base}, '^(.+)\\.[^.]*$', '\\1') END AS {prefix}stem, {sep(base)} AS {prefix}sepbase"
+    )
+
+
+def _query(q: str) -> tuple[str, str, str, list[str]]:
+    t = q.strip().lower()
+    parts = [x for x in re.split(r"[\s._/-]+", t) if x]
+    return t, "-".join(parts), "".join(parts), parts
+
+
+def _tiers(q: str, p: str = "", fuzzy: str = "0") -> str:
+    low, sep, comp, tokens = _query(q)
+    n, c = len(sep), len(comp)
+    at = f"least(CASE WHEN position({_lit(sep)} IN {p}sep) > 0 THEN position({_lit(sep)} IN {p}sep) - 1 ELSE 999999 END, CASE WHEN position({_lit(sep)} IN {p}sepbase) > 0 THEN position({_lit(sep)} IN {p}sepbase) - 1 ELSE 999999 END)"
+    every = " AND ".join(f"contains({p}norm, {_lit(t)})" for t in tokens) if len(tokens) > 1 else "FALSE"
+    return f"""CASE WHEN {_lit(low)} IN ({p}norm, {p}base, {p}stem) THEN 720
+      WHEN {_lit(sep)} IN ({p}sep, {p}sepbase) THEN 680
+      WHEN {p}comp = {_lit(comp)} THEN 560
+      WHEN starts_with({p}sep, {_lit(sep)}) OR starts_with({p}sepbase, {_lit(sep)}) THEN 470 - least(greatest(length({p}sep) - {n}, 0), 120)
+      WHEN starts_with({p}comp, {_lit(comp)}) THEN 390 - least(greatest(length({p}comp) - {c}, 0), 120)
+      WHEN contains({p}sep, {_lit(sep)}) OR contains({p}sepbase, {_lit(sep)}) THEN 330 - least({at}, 80)
+      WHEN contains({p}comp, {_lit(comp)}) THEN 240 - least(position({_lit(comp)} IN {p}comp) - 1, 80)
+      WHEN {every} THEN 210 ELSE {fuzzy} END"""
+
+
+def _fuzzy(source: str, comp: str, q: str, name: str = "fz") -> str:
+    """CTEs: one step for each character of the query, over the distinct compact forms."""
+    letters = _query(q)[2]
+    at = f"position(substr({_lit(letters)}, i + 1, 1) IN substr(comp, pos))"
+    return f"""{name} AS (SELECT DISTINCT {comp} AS comp, 0 AS i, 1 AS pos, 0 AS sc, 0 AS st FROM {source}
+      UNION ALL SELECT comp, i + 1, CAST(pos + hit AS INTEGER), CAST(sc + CASE WHEN hit = 1 THEN 18 + 3 * (st + 1) ELSE 8 END AS INTEGER), CASE WHEN hit = 1 THEN st + 1 ELSE 0 END
+      FROM (SELECT *, {at} AS hit FROM {name} WHERE i < {len(letters)}) WHERE hit > 0),
+    {name}_end AS (SELECT comp, greatest(35, sc - least(length(comp) - {len(letters)}, 60)) AS fuzzy FROM {name} WHERE i = {len(letters)} AND i > 0)"""
+
+
+_WEIGHT = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in WEIGHTS.items()) + " END"
+
+
+def _ranked(rows: str, limit: int | None) -> str:
+    key = "kind, workspace_folder, relative_path, line, label"
+    return f"""SELECT * FROM (SELECT * REPLACE (min(ord) OVER (PARTITION BY {key}) AS ord), row_number() OVER (PARTITION BY {key} ORDER BY score DESC, fam, ord) AS n FROM {rows}) WHERE n = 1
+      ORDER BY score DESC, label, fam, ord""" + (f" LIMIT {limit}" if limit is not None else "")
+
+
+def _symbol_rows(q: str, kinds: list[str], source: str = "v") -> str:
+    return f"""sf AS (SELECT *, {_forms("label")} FROM {source} WHERE kind IN ({", ".join(map(_lit, kinds))})),
+    {_fuzzy("sf", "comp", q, "sfz")},
+    sr AS (SELECT kind, label, relative_path AS description, signature AS detail, {_WEIGHT} + s AS score, workspace_folder, relative_path, line, "character", signature AS preview, 1 AS fam, ord
+      FROM (SELECT sf.*, {_tiers(q, "sf.", "coalesce(fuzzy, 0)")} AS s FROM sf LEFT JOIN sfz_end ON sf.comp = sfz_end.comp) WHERE s > 0)"""
+
+
+def _file_rows(q: str, source: str = "ff") -> str:
+    return f"""fc AS (SELECT *, {_forms("label", "n_")}, {_forms("relative_path", "p_")} FROM {source}),
+    {_fuzzy("fc", "n_comp", q, "nfz")}, {_fuzzy("fc", "p_comp", q, "pfz")},
+    fr AS (SELECT 'file' AS kind, label, relative_path AS description, CAST(NULL AS VARCHAR) AS detail, 420 + greatest({_tiers(q, "n_", "coalesce(nfz_end.fuzzy, 0)")} + 25, {_tiers(q, "p_", "coalesce(pfz_end.fuzzy, 0)")}) AS score,
+      workspace_folder, relative_path, 0 AS line, 0 AS "character", CAST(NULL AS VARCHAR) AS preview, 0 AS fam, ord FROM fc LEFT JOIN nfz_end ON n_comp = nfz_end.comp LEFT JOIN pfz_end ON p_comp = pfz_end.comp)"""
+
+
+_PREVIEW = "CASE WHEN length(trim(text)) > 96 THEN substr(trim(text), 1, 93) || '...' ELSE trim(text) END"
+_SPLIT = "unnest(string_split({0}, chr(10))) AS raw, generate_subscripts(string_split({0}, chr(10)), 1) - 1 AS line"
+
+
+def _lines(source: str, limit: int = 200) -> str:
+    """text lines of a relation with keys, content and ord."""
+    return f"""SELECT workspace_folder, relative_path, ord, CAST(line AS INTEGER) AS line, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT workspace_folder, relative_path, ord, {_SPLIT.format("content")} FROM {source})
+      WHERE line < {limit} AND length(regexp_replace(raw, '^\\s+|\\s+$', '', 'g')) BETWEEN 1 AND 500"""
+
+
+def _text_rows(q: str, most: int, source: str = "tl") -> str:
+    comp = _query(q)[2]
+    return f"""tc AS (SELECT *, {_forms("text")} FROM {source}), {_fuzzy("tc", "comp", q, "tfz")},
+    th AS (SELECT tc.*, {_tiers(q, "tc.", "coalesce(fuzzy, 0)")} AS s FROM tc LEFT JOIN tfz_end ON tc.comp = tfz_end.comp),
+    tr AS (SELECT 'text' AS kind, {_PREVIEW} AS label, relative_path || ':' || (line + 1) AS description, relative_path AS detail, 120 + least(s, 120) AS score, workspace_folder, relative_path, line,
+      CAST(greatest(position({_lit(comp)} IN norm) - 1, 0) AS INTEGER) AS "character", text AS preview, 2 AS fam, ord FROM (SELECT * FROM th WHERE s > 0 ORDER BY ord, line LIMIT {most}))"""
+
+
+# ---- symbols
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.symbol_candidates(views.symbols(spark, sf_dir))
+
+
+def _symbol_search(q: str, where: str = "symbols", limit: int = 150) -> Call:
+    return lambda spark, sf_dir: search.search(q, symbols=_symbols(spark, sf_dir), where=where, limit=limit)
+
+
+def _symbol_sql(q: str, kinds: list[str], limit: int = 150) -> str:
+    return f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows(q, kinds)}, best AS ({_ranked('sr', limit)}) SELECT {_RESULT} FROM best"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _symbol_search("blue bolt")(spark, sf_dir)
+
+
+for _name, _q in {
+    "sym_exact": "blue bolt", "sym_separated": "blue_bolt", "sym_compact": "bluebolt", "sym_prefix": "blue b", "sym_compact_prefix": "bluebo", "sym_contains": "bolt",
+    "sym_compact_contains": "uebol", "sym_tokens": "bolt blue", "sym_fuzzy": "blblt", "separators_only_query": "-", "empty_query": "  ",
+}.items():
+    _sql = _symbol_sql(_q, SCOPES["symbols"]) if _q.strip() else f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows('x', SCOPES['symbols'])}, best AS ({_ranked('sr', 150)}) SELECT {_RESULT} FROM best WHERE FALSE"
+    _add(_name, _symbol_search(_q), _sql)
+_add("sym_scope_classes", _symbol_search("bolt", "class"), _symbol_sql("bolt", SCOPES["classes"]))
+_add("sym_scope_functions", _symbol_search("bolt", "functions"), _symbol_sql("bolt", SCOPES["functions"]))
+_add("search_limit", _symbol_search("red", "nonsense", 7), _symbol_sql("red", SCOPES["symbols"], 7))
+
+
+def _kind_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search("bolt", symbols=_symbols(spark, sf_dir), where="symbols", limit=1_000_000).groupBy("kind").agg(F.max("score").alias("best"), F.min("score").alias("worst"), F.count("*").alias("n"))
+
+
+_add("kind_weighting", _kind_weighting, f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows("bolt", SCOPES['symbols'])}, best AS ({_ranked('sr', None)}) SELECT kind, CAST(max(score) AS INTEGER) AS best, CAST(min(score) AS INTEGER) AS worst, count(*) AS n FROM best GROUP BY kind")
+
+
+def _fuzzy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.score import fuzzy
+
+    comp = text.compact(F.col("c_name"))
+    return views.table(spark, sf_dir, "customer").select("c_custkey", fuzzy(comp, F.lit("cst01")).cast("int").alias("fuzzy")).where("fuzzy > 0")
+
+
+_add("fuzzy_scores", _fuzzy_scores, f"WITH RECURSIVE c AS (SELECT c_custkey, regexp_replace(lower(c_name), '[\\s._/-]+', '', 'g') AS comp FROM customer), {_fuzzy('c', 'comp', 'cst01')} SELECT c_custkey, CAST(fuzzy AS INTEGER) AS fuzzy FROM c JOIN fz_end USING (comp)")
+
+
+def _dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.symbols(spark, sf_dir)
+    twice = s.withColumn("line", F.lit(1)).unionByName(s.withColumn("line", F.lit(1)).withColumn("ord", F.col("ord") + 1_000_000).withColumn("character", F.lit(3)))
+    return search.search("bolt", symbols=search.symbol_candidates(twice), where="symbols")
+
+
+_add("search_dedupe", _dedupe, f"""WITH RECURSIVE b AS ({views.SYMBOLS}), v AS (SELECT * REPLACE (1 AS line) FROM b UNION ALL SELECT * REPLACE (1 AS line, ord + 1000000 AS ord, 3 AS "character") FROM b),
+  {_symbol_rows("bolt", SCOPES["symbols"])}, best AS ({_ranked("sr", 150)}) SELECT {_RESULT} FROM best""")
+
+
+# ---- files and text
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.file_candidates(views.files(spark, sf_dir))
+
+
+def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.files(spark, sf_dir)
+    lines = extract.text_lines(f).join(f.select(*extract.KEYS, F.col("ord").alias("file_ord")), extract.KEYS)
+    return lines.withColumn("ord", F.col("file_ord") * 1_000_000 + F.col("line")).drop("file_ord")
+
+
+_FF = f"ff AS (SELECT *, regexp_extract(relative_path, '[^/]*$') AS label FROM ({views.FILES}))"
+_TL = f"tl AS (SELECT * REPLACE (ord * 1000000 + line AS ord) FROM ({_lines('(' + views.FILES + ')')}))"
+_add("search_files", lambda s, d: search.search("en/12", files=_files(s, d), where="files"), f"WITH RECURSIVE {_FF}, {_file_rows('en/12')}, best AS ({_ranked('fr', 150)}) SELECT {_RESULT} FROM best")
+_add("file_floor", lambda s, d: search.search("zzzz", files=_files(s, d), where="files", limit=1_000_000).agg(F.min("score").alias("floor"), F.count("*").alias("n")), f"WITH RECURSIVE {_FF}, {_file_rows('zzzz')}, best AS ({_ranked('fr', None)}) SELECT CAST(min(score) AS INTEGER) AS floor, count(*) AS n FROM best")
+_add("search_text_capped", lambda s, d: search.search("thing in", text=search.text_candidates(_text(s, d)), where="text"), f"WITH RECURSIVE {_TL}, {_text_rows('thing in', 80)}, best AS ({_ranked('tr', 150)}) SELECT {_RESULT} FROM best")
+_add(
+    "search_all_topk",
+    lambda s, d: search.search("bolt", symbols=_symbols(s, d), files=_files(s, d), text=search.text_candidates(_text(s, d)), limit=120),
+    f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_FF}, {_TL}, {_symbol_rows('bolt', SCOPES['symbols'])}, {_file_rows('bolt')}, {_text_rows('bolt', 80)}, every AS (SELECT * FROM fr UNION ALL SELECT * FROM sr UNION ALL SELECT * FROM tr), best AS ({_ranked('every', 120)}) SELECT {_RESULT} FROM best",
+)
+
+_HASH = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: (a * 31 + b) % 4294967296)"
+_SHARD = f"CAST(abs(CASE WHEN {_HASH} >= 2147483648 THEN {_HASH} - 4294967296 ELSE {_HASH} END) % 64 AS INTEGER)"
+_HITS = "'text' AS kind, {p} AS label, relative_path || ':' || (line + 1) AS description, relative_path AS detail, CAST(120 + greatest(0, 120 - idx) AS INTEGER) AS score, workspace_folder, relative_path, line, CAST(idx AS INTEGER) AS \"character\", text AS preview"
+
+
+def _shard_sql(q: str, most: int) -> str:
+    return f"""h AS (SELECT *, {_SHARD.format("relative_path")} AS shard, position({_lit(q)} IN lower(text)) - 1 AS idx FROM tl WHERE position({_lit(q)} IN lower(text)) > 0 ORDER BY shard, ord, line LIMIT {most}),
+    hits AS (SELECT {_HITS.format(p=_PREVIEW)} FROM h)"""
+
+
+_add("text_shard_search", lambda s, d: search.text_search("ation th", _text(s, d)), f"WITH {_TL}, {_shard_sql('ation th', 80)} SELECT * FROM hits")
+_add("text_refine", lambda s, d: search.refine_text(search.text_search("the an", _text(s, d)), "the and"), f"WITH {_TL}, {_shard_sql('the an', 80)}, again AS (SELECT * REPLACE (position('the and' IN lower(preview)) - 1 AS \"character\") FROM hits WHERE contains(lower(preview), 'the and')) SELECT * REPLACE (CAST(120 + greatest(0, 120 - \"character\") AS INTEGER) AS score, CAST(\"character\" AS INTEGER) AS \"character\") FROM again")
+_add("refine", lambda s, d: search.refine(_symbol_search("bol")(s, d), "bolt"), f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows('bol', SCOPES['symbols'])}, best AS ({_ranked('sr', 150)}) SELECT {_RESULT} FROM best WHERE contains(lower(label), 'bolt')")
+
+_MANY = ["blue bolt", "red", "gear_small", "BoltBlue", "steel pin"]
+
+
+def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = views.table(spark, sf_dir, "part").select("p_name").distinct()
+    queries = names.select(F.xxhash64("p_name").alias("query_id"), F.col("p_name").alias("query"))
+    return search.search_many(queries.select(F.col("query").alias("query_id"), "query"), _symbols(spark, sf_dir), 5).select("query_id", "kind", "label", "score", "relative_path", "line")
+
+
+_many_tiers = """CASE WHEN q_low IN (norm, base, stem) THEN 720 WHEN q_sep IN (sep, sepbase) THEN 680 WHEN comp = q_comp THEN 560
+  WHEN starts_with(sep, q_sep) OR starts_with(sepbase, q_sep) THEN 470 - least(greatest(length(sep) - length(q_sep), 0), 120)
+  WHEN starts_with(comp, q_comp) THEN 390 - least(greatest(length(comp) - length(q_comp), 0), 120)
+  WHEN contains(sep, q_sep) OR contains(sepbase, q_sep) THEN 330 - least(least(CASE WHEN position(q_sep IN sep) > 0 THEN position(q_sep IN sep) - 1 ELSE 999999 END, CASE WHEN position(q_sep IN sepbase) > 0 THEN position(q_sep IN sepbase) - 1 ELSE 999999 END), 80)
+  WHEN contains(comp, q_comp) THEN 240 - least(position(q_comp IN comp) - 1, 80)
+  WHEN len(q_tok) >= 2 AND len(list_filter(q_tok, lambda t: NOT contains(norm, t))) = 0 THEN 210 ELSE coalesce(fuzzy, 0) END"""
+_add(
+    "search_many",
+    _many,
+    f"""WITH RECURSIVE v AS ({views.SYMBOLS}), sf AS (SELECT *, {_forms("label")} FROM v),
+  q AS (SELECT DISTINCT p_name AS query_id, lower(p_name) AS q_low, trim(regexp_replace(lower(p_name), '[\\s._/-]+', '-', 'g'), '-') AS q_sep, regexp_replace(lower(p_name), '[\\s._/-]+', '', 'g') AS q_comp, list_filter(regexp_split_to_array(lower(p_name), '[\\s._/-]+'), lambda t: t <> '') AS q_tok FROM part),
+  fz AS (SELECT DISTINCT q_comp, comp, 0 AS i, 1 AS pos, 0 AS sc, 0 AS st FROM q, (SELECT DISTINCT comp FROM sf)
+    UNION ALL SELECT q_comp, comp, i + 1, CAST(pos + hit AS INTEGER), CAST(sc + CASE WHEN hit = 1 THEN 18 + 3 * (st + 1) ELSE 8 END AS INTEGER), CASE WHEN hit = 1 THEN st + 1 ELSE 0 END
+    FROM (SELECT *, position(substr(q_comp, i + 1, 1) IN substr(comp, pos)) AS hit FROM fz WHERE i < length(q_comp)) WHERE hit > 0),
+  fe AS (SELECT q_comp AS fq, comp AS fc, greatest(35, sc - least(length(comp) - length(q_comp), 60)) AS fuzzy FROM fz WHERE i = length(q_comp) AND i > 0),
+  sr AS (SELECT query_id, kind, label, {_WEIGHT} + s AS score, workspace_folder, relative_path, line, ord FROM (SELECT *, {_many_tiers} AS s FROM sf, q LEFT JOIN fe ON fq = q_comp AND fc = comp) WHERE s > 0),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind, workspace_folder, relative_path, line, label ORDER BY score DESC, ord) AS n FROM sr) WHERE n = 1)
+  SELECT query_id, kind, label, CAST(score AS INTEGER) AS score, relative_path, line FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label, ord) AS k FROM best) WHERE k <= 5""".replace("FROM sf, q LEFT JOIN", "FROM sf CROSS JOIN q LEFT JOIN"),
+)
+
+_GROUP = "SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, label, relative_path, line) AS rank FROM best"
+_ORD = "CAST(list_position(['class', 'interface', 'type', 'function', 'file', 'text'], kind) - 1 AS INTEGER)"
+for _name, _caps in (("group_panel", search.PANEL_CAPS), ("group_pick", search.PICK_CAPS)):
+    _add(
+        _name,
+        lambda s, d, caps=_caps: search.grouped(search.search("e", symbols=_symbols(s, d), where="symbols", limit=100_000), caps).select("kind", "label", "score", "relative_path", "line", "rank", "group_ord"),
+        f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows('e', SCOPES['symbols'])}, best AS ({_ranked('sr', 100_000)}) SELECT kind, label, CAST(score AS INTEGER) AS score, relative_path, line, CAST(rank AS INTEGER) AS rank, {_ORD} AS group_ord FROM ({_GROUP}) WHERE rank <= {_caps[None]}",
+    )
+_add("printed_results", lambda s, d: search.printed(_symbol_search("bolt")(s, d)), f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows('bolt', SCOPES['symbols'])}, best AS ({_ranked('sr', 150)}) SELECT rpad(kind, 9, ' ') || ' ' || label || '  ' || relative_path || ':' || (line + 1) AS row FROM best")
+
+# ---- paths and languages
+
+_EXT = "CASE WHEN regexp_matches(relative_path, '^(.*/)?\\.\\.$') THEN '' ELSE substr(lower(regexp_extract(regexp_extract(relative_path, '[^/]*$'), '^.+(\\.[^.]*)$', 1)), 2) END"
+
+
+def _language_sql(profile: str) -> str:
+    table = languages.FULL if profile == "full" else languages.LITE
+    cases = " ".join(f"WHEN e IN ({', '.join(map(_lit, x.split()))}) THEN '{name}'" for name, x in table.items())
+    return f"CASE WHEN e = '' THEN 'plaintext' {cases} ELSE {'e' if profile != 'full' else _lit('plaintext')} END"
+
+
+for _profile in ("full", "lite"):
+    _add(f"lang_{_profile}", lambda s, d, p=_profile: views.files(s, d).select("relative_path", languages.language(F.col("relative_path"), p).alias("language")), f"SELECT relative_path, {_language_sql(_profile)} AS language FROM (SELECT *, {_EXT} AS e FROM ({views.FILES}))")
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.files(spark, sf_dir).withColumn("language", languages.language(F.col("relative_path")))
+
+
+_TYPED = f"f AS (SELECT *, {_language_sql('full')} AS language FROM (SELECT *, {_EXT} AS e FROM ({views.FILES})))"
+_add("lang_counts", lambda s, d: sync.language_counts(_typed(s, d)), f'WITH {_TYPED} SELECT language, count(*) AS files, min(ord) AS "first" FROM f GROUP BY language')
+
+
+def _path_query(test) -> Call:
+    return lambda s, d: views.files(s, d).where(test(F.col("relative_path"))).select("workspace_folder", "relative_path")
+
+
+def _path_sql(test: str) -> str:
+    return f"SELECT workspace_folder, relative_path FROM (SELECT *, {_EXT} AS e, string_split(relative_path, '/') AS seg FROM ({views.FILES})) WHERE {test}"
+
+
+_IGNORE = ["# note", "!keep/", "en/", "fr/1", "*.kt", "/de/2?.go", "99.java", "es"]
+_has = lambda names: "list_has_any(seg, [" + ", ".join(map(_lit, names)) + "])"
+_suffix = lambda names: "(" + " OR ".join(f"ends_with(lower(relative_path), '.{x}')" for x in names) + ")"
+_add("include_ext", _path_query(languages.included), _path_sql(f"e IN ({', '.join(map(_lit, languages.INCLUDED))})"))
+_add("exclude_dirs", _path_query(ignore.lite_excluded), _path_sql("list_has_any(seg[1:len(seg) - 1], [" + ", ".join(map(_lit, ignore.LITE_DIRECTORIES)) + "])"))
+_add("exclude_globs", _path_query(lambda p: ignore.matches_globs(p, ignore.full_globs())), _path_sql(f"{_has(ignore.FULL_DIRECTORIES)} OR {_suffix(ignore.FULL_SUFFIXES)}"))
+_add("ignore_lite", _path_query(lambda p: ignore.lite_ignored(p, _IGNORE)), _path_sql(
+    "relative_path = 'en' OR starts_with(relative_path, 'en/') OR relative_path = 'fr/1' OR starts_with(relative_path, 'fr/1/') OR relative_path = '*.kt' OR relative_path = 'de/2?.go' OR regexp_extract(relative_path, '[^/]*$') IN ('99.java', 'es', '*.kt') OR relative_path = 'es' OR starts_with(relative_path, 'es/')"))
+_add("ignore_full", _path_query(lambda p: ignore.matches_globs(p, ignore.to_globs(_IGNORE))), _path_sql(f"{_has(['en', '99.java', 'es'])} OR relative_path = 'fr/1' OR {_suffix(['kt'])} OR regexp_full_match(relative_path, 'de/2[^/]\\.go')"))
+_add("watcher_exclude", _path_query(ignore.watch_excluded), _path_sql("len(list_filter(seg, lambda x: list_contains([" + ", ".join(map(_lit, ignore.WATCH_DIRECTORIES)) + "], lower(x)))) > 0"))
+_add("indexed_paths", _path_query(lambda p: ignore.indexed(p, "full", ["es/"])), _path_sql(f"e IN ({', '.join(map(_lit, languages.INCLUDED))}) AND NOT ({_has([*ignore.FULL_DIRECTORIES, 'es'])} OR {_suffix(ignore.FULL_SUFFIXES)})"))
+_add("size_cap", lambda s, d: extract.size_capped(views.files(s, d), 2000).select("workspace_folder", "relative_path", "size"), f"SELECT workspace_folder, relative_path, size FROM ({views.FILES}) WHERE size <= 2000")
+_add("shard_assign", lambda s, d: views.files(s, d).select("relative_path", text.shard(F.col("relative_path")).alias("shard")), f"SELECT relative_path, {_SHARD.format('relative_path')} AS shard FROM ({views.FILES})")
+
+# ---- extraction
+
+_LINE = "workspace_folder, relative_path, line, text"
+_add("text_lines", lambda s, d: extract.text_lines(views.files(s, d)).select("workspace_folder", "relative_path", "line", "text"), f"SELECT {_LINE} FROM ({_lines('(' + views.FILES + ')')})")
+_add("text_lines_limit", lambda s, d: extract.text_lines(views.files(s, d), 3).select("workspace_folder", "relative_path", "line", "text"), f"SELECT {_LINE} FROM ({_lines('(' + views.FILES + ')', 3)})")
+_PAGES = "SELECT 'p' AS workspace_folder, url AS relative_path, html AS content, page_id AS ord FROM pages"
+_add("page_lines", lambda s, d: extract.text_lines(views.table(s, d, "pages").select(F.lit("p").alias("workspace_folder"), F.col("url").alias("relative_path"), F.col("html").alias("content"))).select("workspace_folder", "relative_path", "line", "text"), f"SELECT {_LINE} FROM ({_lines('(' + _PAGES + ')')})")
+_BUDGET, _PER, _BATCH = 3000, 5, 64
+
+
+def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.files(spark, sf_dir).withColumn("file_ord", F.col("ord"))
+    return extract.budgeted_text_lines(f, _BUDGET, _PER, _BATCH).select("workspace_folder", "relative_path", "line", "text")
+
+
+_add(
+    "text_budget",
+    _budget,
+    f"""WITH RECURSIVE tl AS ({_lines("(" + views.FILES + ")", _PER)}), f AS (SELECT ord, CAST(floor(ord / {_BATCH}) AS BIGINT) AS b FROM ({views.FILES})),
+  per AS (SELECT b, k, (SELECT count(*) FROM tl JOIN f AS g ON g.ord = tl.ord WHERE g.b = x.b AND tl.line < k) AS n FROM (SELECT DISTINCT b FROM f) x, range(0, {_PER + 1}) r(k)),
+  walk AS (SELECT CAST(0 AS BIGINT) AS b, CAST({_BUDGET} AS BIGINT) AS remaining UNION ALL
+    SELECT walk.b + 1, walk.remaining - per.n FROM walk JOIN per ON per.b = walk.b AND per.k = least({_PER}, greatest(walk.remaining, 0)))
+  SELECT {_LINE} FROM tl JOIN f USING (ord) JOIN walk ON walk.b = f.b WHERE line < least({_PER}, greatest(remaining, 0))""",
+)
+_add("preview_trim", lambda s, d: views.table(s, d, "documents").select("doc_id", text.preview(F.substring("text", 1, 120)).alias("preview")), "SELECT doc_id, CASE WHEN length(t) > 96 THEN substr(t, 1, 93) || '...' ELSE t END AS preview FROM (SELECT doc_id, regexp_replace(substr(text, 1, 120), '^\\s+|\\s+$', '', 'g') AS t FROM documents)")
+_add("signature_240", lambda s, d: extract.lines(views.files(s, d)).select("relative_path", "line", F.substring(text.trim(F.col("raw")), 1, text.SIGNATURE).alias("signature"), text.indent(F.col("raw")).alias("character")), f"SELECT relative_path, CAST(line AS INTEGER) AS line, substr(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), 1, 240) AS signature, CAST(length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS INTEGER) AS \"character\" FROM (SELECT relative_path, {_SPLIT.format('content')} FROM ({views.FILES}))")
+_SYMBOL = ["relative_path", "line", "character", "kind", "name", "container_name", "signature"]
+
+
+def _rule_sql(language: str) -> str:
+    def first(rules: list[tuple[str, str]], what: str) -> str:
+        return " ".join(f"WHEN {'' if rules is grammar.ANNOTATIONS else 'NOT c AND '}regexp_matches(t, {_lit(p)}) THEN " + (_lit(k) if what == "kind" else f"regexp_extract(t, {_lit(p)}, 1)") for k, p in rules)
+
+    rules = grammar.rules_of(language)
+    case = lambda what: "CASE " + (first(grammar.ANNOTATIONS, what) + " " if language == "lua" else "") + first(rules, what) + " END"
+    return f"""WITH l AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS t FROM ({views.code_sql(language)})), m AS (SELECT *, regexp_matches(t, {_lit(grammar.COMMENT)}) AS c FROM l)
+  SELECT relative_path, line, CAST(length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS INTEGER) AS "character", kind, name, CAST(NULL AS VARCHAR) AS container_name, substr(t, 1, 240) AS signature
+  FROM (SELECT *, {case("kind")} AS kind, {case("name")} AS name FROM m) WHERE kind IS NOT NULL"""
+
+
+for _lang in views.TEMPLATES:
+    if _lang != "python":
+        _add(f"sym_extract_{_lang}", lambda s, d, x=_lang: extract.symbols(views.code(s, d, x)).select(*_SYMBOL), _rule_sql(_lang))
+_add("sym_extract_lite", lambda s, d: extract.symbols(views.code(s, d, "java"), "lite").select(*_SYMBOL), _rule_sql("javascript").replace(views.code_sql("javascript"), views.code_sql("java")))
+_add(
+    "sym_extract_python",
+    lambda s, d: extract.symbols(views.code(s, d, "python")).select(*_SYMBOL),
+    f"""WITH l AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS t, CAST(length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS INTEGER) AS ind FROM ({views.code_sql("python")})),
+  a AS (SELECT * FROM l WHERE t <> '' AND NOT regexp_matches(t, {_lit(grammar.COMMENT)})),
+  c AS (SELECT relative_path, line, ind, regexp_extract(t, {_lit(grammar.PYTHON_CLASS)}, 1) AS name, t FROM a WHERE regexp_matches(t, {_lit(grammar.PYTHON_CLASS)})),
+  f AS (SELECT relative_path, line, ind, regexp_extract(t, {_lit(grammar.PYTHON_DEF)}, 1) AS name, t FROM a WHERE regexp_matches(t, {_lit(grammar.PYTHON_DEF)})),
+  o AS (SELECT f.relative_path, f.line, max(c.line) AS holder FROM f JOIN c ON c.relative_path = f.relative_path AND c.line < f.line AND c.ind < f.ind
+    AND NOT EXISTS (SELECT 1 FROM a WHERE a.relative_path = f.relative_path AND a.line > c.line AND a.line <= f.line AND a.ind <= c.ind) GROUP BY ALL)
+  SELECT relative_path, line, ind AS "character", 'class' AS kind, name, CAST(NULL AS VARCHAR) AS container_name, substr(t, 1, 240) AS signature FROM c
+  UNION ALL SELECT f.relative_path, f.line, f.ind, 'function', CASE WHEN c.name IS NULL THEN f.name ELSE c.name || '.' || f.name END, c.name, substr(f.t, 1, 240) FROM f LEFT JOIN o ON o.relative_path = f.relative_path AND o.line = f.line LEFT JOIN c ON c.relative_path = f.relative_path AND c.line = o.holder""",
+)
+
+# ---- keeping up to date
+
+_CAP = 20_000
+_ACTION = f"CASE WHEN new.size IS NULL THEN 'removed' WHEN new.size > {_CAP} THEN 'dropped' WHEN old.size IS NULL THEN 'added' WHEN old.size = new.size AND old.mtime_ms = new.mtime_ms THEN 'preserved' ELSE 'updated' END"
+_CLASSIFIED = f"c AS (SELECT coalesce(old.workspace_folder, new.workspace_folder) AS workspace_folder, coalesce(old.relative_path, new.relative_path) AS relative_path, {_ACTION} AS action, old.size AS old_size, new.size AS new_size FROM old FULL JOIN new ON old.workspace_folder = new.workspace_folder AND old.relative_path = new.relative_path)"
+_add("sync_classify", lambda s, d: sync.classify(*views.scans(s, d), _CAP), f"WITH {views.SCANS}, {_CLASSIFIED} SELECT * FROM c")
+_add("sync_counts", lambda s, d: sync.counters(sync.classify(*views.scans(s, d), _CAP)), f"WITH {views.SCANS}, {_CLASSIFIED} SELECT count(*) FILTER (action <> 'removed') AS scanned, count(*) FILTER (action = 'added') AS added, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'removed') AS removed FROM c")
+_add("sync_merge", lambda s, d: sync.merge(*views.scans(s, d), _CAP).select("workspace_folder", "relative_path", "size", "mtime_ms", "fresh"), f"""WITH {views.SCANS}, {_CLASSIFIED}
+  SELECT workspace_folder, relative_path, old.size, old.mtime_ms, 0 AS fresh FROM old JOIN c USING (workspace_folder, relative_path) WHERE action = 'preserved'
+  UNION ALL SELECT workspace_folder, relative_path, new.size, new.mtime_ms, 1 FROM new JOIN c USING (workspace_folder, relative_path) WHERE action IN ('updated', 'added')""")
+_add("removed_files", lambda s, d: sync.removed(*views.scans(s, d)), f"WITH {views.SCANS} SELECT workspace_folder, relative_path FROM old WHERE (workspace_folder, relative_path) NOT IN (SELECT (workspace_folder, relative_path) FROM new)")
+
+
+def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = views.scans(spark, sf_dir)
+    changed = new.where("ord % 7 = 0")
+    return sync.upsert(old, changed, ~ignore.lite_excluded(F.col("relative_path"))).select("workspace_folder", "relative_path", "size")
+
+
+_add("upsert_files", _upsert, f"""WITH {views.SCANS}, ch AS (SELECT * FROM new WHERE ord % 7 = 0)
+  SELECT workspace_folder, relative_path, size FROM old WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.workspace_folder = old.workspace_folder AND ch.relative_path = old.relative_path)
+  UNION ALL SELECT workspace_folder, relative_path, size FROM ch WHERE NOT starts_with(relative_path, 'vendor/') AND NOT starts_with(relative_path, 'assets/')""")
+
+
+def _shard_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = extract.text_lines(views.files(spark, sf_dir), 3).select(*extract.KEYS, "line", "text", "shard")
+    gone = lines.where("line = 0").where(text.string_hash(F.col("relative_path")) % 5 == 0)
+    return sync.replace_rows(lines, gone, gone.withColumn("text", F.concat(F.lit("> "), "text")))
+
+
+_add("shard_rewrite", _shard_rewrite, f"""WITH tl AS (SELECT workspace_folder, relative_path, line, text, {_SHARD.format("relative_path")} AS shard, {_HASH.format("relative_path")} AS h FROM ({_lines("(" + views.FILES + ")", 3)})),
+  gone AS (SELECT * FROM tl WHERE line = 0 AND (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 5 = 0)
+  SELECT workspace_folder, relative_path, line, text, shard FROM tl WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.workspace_folder = tl.workspace_folder AND gone.relative_path = tl.relative_path)
+  UNION ALL SELECT workspace_folder, relative_path, line, '> ' || text, shard FROM gone""")
+
+
+def _dedupe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.files(spark, sf_dir).select("workspace_folder", "relative_path", "size", "ord")
+    return sync.dedupe(f.unionByName(f.withColumn("ord", F.col("ord") - 1_000_000).withColumn("size", F.col("size") + 1).where("size % 2 = 0")))
+
+
+_add("dedupe_files", _dedupe_files, f"""WITH f AS (SELECT workspace_folder, relative_path, size, ord FROM ({views.FILES})), b AS (SELECT * FROM f UNION ALL SELECT workspace_folder, relative_path, size + 1, ord - 1000000 FROM f WHERE (size + 1) % 2 = 0)
+  SELECT workspace_folder, relative_path, size, ord FROM (SELECT *, row_number() OVER (PARTITION BY workspace_folder, relative_path ORDER BY ord) AS n FROM b) WHERE n = 1""")
+
+
+def _index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, s = _typed(spark, sf_dir), extract.symbols(views.code(spark, sf_dir, "java"))
+    x = sync.summary(f, s, "2024-01-01T00:00:00.000Z")
+    return x.select("file_count", "symbol_count", "created_at", F.explode("language_counts").alias("language", "files"))
+
+
+_add("index_summary", _index_summary, f"WITH {_TYPED}, s AS ({_rule_sql('java')}) SELECT (SELECT count(*) FROM f) AS file_count, (SELECT count(*) FROM s) AS symbol_count, '2024-01-01T00:00:00.000Z' AS created_at, language, count(*) AS files FROM f GROUP BY language")
+
+# ---- the change feed
+
+_LAST = "SELECT path, action, ts, seq FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, seq DESC) AS n FROM g) WHERE n = 1"
+_add("watch_coalesce", lambda s, d: watch.coalesced(watch.guarded(views.changes(s, d))).select("path", "action", "seq"), f"WITH g AS (SELECT * FROM ({views.CHANGES}) WHERE NOT starts_with(path, 'vendor/') AND ends_with(path, '.go')) SELECT path, action, seq FROM ({_LAST})")
+_add("watch_route", lambda s, d: s.createDataFrame([(watch.route(views.changes(s, d)),)], "route string"), f"SELECT CASE WHEN count(DISTINCT path) >= 50 THEN 'sync' ELSE 'single' END AS route FROM ({views.CHANGES})")
+_add("stream_apply", lambda s, d: watch.applied(watch.coalesced(views.changes(s, d).where("seq % 3 = 0")).where("action = 'up'").select("path", "ts", "seq"), views.changes(s, d).where("seq % 3 <> 0")).select("path", "seq"), f"""WITH ch AS ({views.CHANGES}), g AS (SELECT * FROM ch WHERE seq % 3 = 0), st AS (SELECT * FROM ({_LAST}) WHERE action = 'up'),
+  h AS (SELECT * FROM ch WHERE seq % 3 <> 0), l AS ({_LAST.replace("FROM g)", "FROM h)")}) SELECT path, seq FROM st WHERE path NOT IN (SELECT path FROM l) UNION ALL SELECT path, seq FROM l WHERE action = 'up'""")
+_add("watch_quiet", lambda s, d: watch.quiet_periods(views.changes(s, d), "1 hour").select("path", "action", "events", F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("quiet_at")).alias("quiet_at")), f"""WITH c AS ({views.CHANGES}), b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, seq) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM c),
+  g AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS k FROM b)
+  SELECT path, arg_max(action, (ts, seq)) AS action, count(*) AS events, epoch_us(max(ts) + INTERVAL 1 HOUR) AS quiet_at FROM g GROUP BY path, k""")
+
+
+# ---- storage
+
+
+def _round_trip(strict: bool) -> Call:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .scratch import folder
+
+        path = folder(spark)
+        scanned = views.code(spark, sf_dir, "go").select("*", F.col("relative_path").alias("absolute_path"), F.length("content").cast("long").alias("size"), F.lit(1.0).alias("mtime_ms"))
+        index = store.build(scanned, created_at="2024-01-01T00:00:00.000Z")
+        if strict:
+            store.write_json(index, path)
+            rows = store.read_json(spark, path, strict=True)
+            return store.unnested(rows)[1].select("relative_path", "line", "character", "kind", "name", "signature")
+        store.write_index(index, path)
+        return store.read_index(spark, path).symbols.select("relative_path", "line", "character", "kind", "name", "signature")
+
+    return run
+
+
+_GO = f"SELECT relative_path, line, \"character\", kind, name, signature FROM ({_rule_sql('go')})"
+_add("load_roundtrip", _round_trip(False), _GO)
+_add("load_json", _round_trip(True), _GO)
