@@ -44,7 +44,7 @@ def scan(spark: SparkSession, root: str, profile: str = "full", ignore: list[str
     rows = raw.where(F.col("length") <= cap).withColumn("relative_path", path).where(indexed(F.col("relative_path"), profile, ignore))
     return rows.select(
         F.lit(plain).alias("workspace_folder"), "relative_path", F.col("path").alias("absolute_path"), F.col("length").alias("size"),
-        (F.unix_micros("modificationTime") / 1000.0).alias("mtime_ms"), F.decode("content", F.lit("UTF-8")).alias("content"),
+        (F.unix_micros("modificationTime") / 1000.0).alias("mtime_ms"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 
@@ -207,8 +207,9 @@ def rewrite_shards(spark: SparkSession, path: str, replaced: DataFrame, fresh: D
     old = spark.read.parquet(path)
     rows = old.join(touched, "shard", "left_semi")
     replace_rows(rows.select(old.columns), replaced, fresh.select(old.columns)).write.mode("overwrite").partitionBy("shard").parquet(staging)
-    emptied = [r["shard"] for r in touched.join(spark.read.parquet(staging).select("shard").distinct(), "shard", "left_anti").collect()]  # at most 64
-    spark.read.schema(old.schema).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    new = spark.read.schema(old.schema).parquet(staging)
+    emptied = [r["shard"] for r in touched.join(new.select("shard").distinct(), "shard", "left_anti").collect()]  # at most 64
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     for s in emptied:
         fs, p = _fs(spark, f"{path}/shard={s}")
         fs.delete(p, True)
