@@ -130,7 +130,16 @@ def _first(line: Column, rules: list[tuple[str, str]], otherwise: Column | None
 
 
 def declaration(line: Column, language: Column, profile: str = "full") -> Column:
-    """kind and name of the declaration on a trimmed line of a language (Python has its own operator), or null."""
+    """kind and name of the declaration on a trimmed line of a language (Python has its own operator), or null.
+
+    The rules of all languages are more code than a generated method may hold; inside a lambda they are evaluated as they
+    are, regular expressions compiled once, and the rest of the plan keeps its generated code.
+    """
+    one = F.array(F.struct(line.alias("line"), language.alias("language")))
+    return F.get(F.transform(one, lambda x: _declared(x["line"], x["language"], profile)), 0)
+
+
+def _declared(line: Column, language: Column, profile: str) -> Column:
     plain = _first(line, DEFAULT)
     for name in RULES if profile == "full" else LITE:
         plain = F.when(language == name, _first(line, RULES[name])).otherwise(plain)
