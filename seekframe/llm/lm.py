@@ -31,8 +31,8 @@ MARK = 0xFF
 #: The hash that stands for a document's end among the words (a word can't hold this byte).
 END = np.uint64(hash_of(b"\x20"))
 #: Keys that are broadcast at most, and slots of their tables.
-MOST_WORDS, WORD_SLOTS = 1 << 18, 1 << 20
-MOST_GRAMS, GRAM_SLOTS = 1 << 19, 1 << 21
+MOST_WORDS, WORD_SLOTS = 1 << 17, 1 << 19
+MOST_GRAMS, GRAM_SLOTS = 1 << 18, 1 << 20
 WORD, GRAM, DOCUMENT = 0, 1, 2
 
 
@@ -45,7 +45,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for k in range(8):
         product *= np.where(big, 1, x + k)
     z = 1 / (y * y)
-    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / y
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(product)
 
 
@@ -90,12 +90,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, e in slices(batch["text"]):
             data, at = raw(batch["text"].slice(b, e - b))
             for (keys, counts), (h, first) in ((words, tokens(data, at)), (grams_, grams(data, at))):
-                inside = np.repeat(train[b:e], np.diff(first))
+                seen = h[np.repeat(train[b:e], np.diff(first))]
                 if keys is words[0]:
-                    h, inside = h[inside], inside[inside]
-                u, back = np.unique(h, return_inverse=True)
+                    h = seen
+                # plain sorts, one of all and one of the training part, are much faster than one that keeps places
+                u, n = np.unique(h, return_counts=True)
+                v, m = (u, n) if len(seen) == len(h) else np.unique(seen, return_counts=True)
+                both = np.zeros((len(u), 2), np.int64)
+                both[np.searchsorted(u, v), 0] = m
+                both[:, 1] = n
                 keys.append(u)
-                counts.append(np.stack([np.bincount(back, inside, len(u)), np.bincount(back, minlength=len(u))], axis=1).astype(np.int64))
+                counts.append(both)
         for kind, (keys, counts) in ((WORD, words), (GRAM, grams_)):
             if keys:
                 u, n = _reduced(keys, counts)
@@ -180,9 +185,9 @@ def _group_sums(table: pa.Table) -> pa.Table:
     return pa.table({"near": pa.array(((top.keys >> 8) & 0xFF).astype(np.int32)), "node": pa.array((top.keys & 0xFF).astype(np.int32)), "zeros": pa.array(top.zeros.astype(np.int64)), "ones": pa.array(top.ones.astype(np.int64)), "mixture": pa.array(top.mixture)})
 
 
-def top_levels(rows: list) -> dict[int, Level]:
+def top_levels(rows: pa.Table) -> dict[int, Level]:
     """Depths 1 and 0 from the summed depth-2 nodes (near, node, zeros, ones, mixture)."""
-    x = np.array([(r["near"], r["node"], r["zeros"], r["ones"], r["mixture"]) for r in rows], np.float64).reshape(-1, 5)
+    x = np.stack([rows[c].to_numpy().astype(np.float64) for c in ("near", "node", "zeros", "ones", "mixture")], axis=1)
     keys = (x[:, 0].astype(np.int64) << 8) | x[:, 1].astype(np.int64)
     order = np.argsort(keys)
     keys, x = keys[order], x[order]
@@ -198,7 +203,7 @@ def values(counts: DataFrame) -> tuple[DataFrame, int, int]:
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     near = counts.where(F.col("kind") == GRAM).withColumn("seam", F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * _SEAM)) - 1))).select("seam", "key", "n", "n_all")
     sums = near.where("n > 0").groupBy("seam").applyInArrow(_group_sums, "near int, node int, zeros long, ones long, mixture double")
-    rows = sums.groupBy("near", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixture").alias("mixture")).collect()  # at most 256 * 255
+    rows = sums.groupBy("near", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixture").alias("mixture")).toArrow()  # at most 256 * 255
     top = spark.sparkContext.broadcast(top_levels(rows))
 
     def evaluated(table: pa.Table) -> pa.Table:
@@ -215,9 +220,9 @@ def values(counts: DataFrame) -> tuple[DataFrame, int, int]:
 class Table:
     """A direct-mapped table of the most frequent keys; a key whose slot another one has isn't in it."""
 
-    def __init__(self, rows: list, slots: int):
-        key = np.array([r["key"] for r in rows], np.int64).view(np.uint64)[::-1]
-        value = np.array([r["value"] for r in rows], np.float64)[::-1]
+    def __init__(self, rows: pa.Table, slots: int):
+        key = rows["key"].to_numpy().astype(np.int64).view(np.uint64)[::-1]
+        value = rows["value"].to_numpy()[::-1]
         self.keys, self.values, self.full = np.zeros(slots, np.uint64), np.zeros(slots), np.zeros(slots, bool)
         slot = self._slot(key)
         # of repeated slots the last write stays, which is the most frequent key
@@ -279,7 +284,7 @@ def score(documents: DataFrame, held_out: str = "held_out", most_words: int = MO
     known, n, v = values(count(docs))
 
     def table(kind: int, most: int, slots: int):
-        rows = known.where(F.col("kind") == kind).orderBy(F.desc("n_all"), "key").limit(most).select("key", "value").collect()
+        rows = known.where(F.col("kind") == kind).orderBy(F.desc("n_all"), "key").limit(most).select("key", "value").toArrow()
         return spark.sparkContext.broadcast(Table(rows, slots))
 
     tables = table(WORD, most_words, WORD_SLOTS), table(GRAM, most_grams, GRAM_SLOTS)
