@@ -7,8 +7,8 @@ Within the documents of a hash, pairs must pass the length and positional filter
 filter (overlap of the sets' histograms by hash, an upper bound); what is left is verified once, on the sets themselves.
 
 Copies are one class: the smallest id stands for all equal sets.  Groups need no pair of two documents that are already
-connected, so a first round verifies neighbours by size under each hash, and a second one every remaining pair
-between different groups of the first.  Nothing is capped, and no document list comes to the driver: components are
+connected: a first round verifies every document of a hash with the smallest id there, a second one every pair that is
+still in different groups.  Hashes with the same documents are one.  Nothing is capped, and no document list comes to the driver: components are
 found by alternating stars, and the candidates' texts are picked out by a bitmap of fixed size and an exact join.
 
 Defined results: null and empty texts have no shingles and link with nothing; a text of fewer words than ``width`` has its
@@ -116,7 +116,7 @@ def _prefixes(width: int, percent: int, shared, n_parts: int):
                     if least.get(key := (low, high, len(s)), ids[b + i] + 1) <= ids[b + i]:
                         continue
                     least[key] = ids[b + i]
-                    heads.append((ids[b + i], len(s), low, high))
+                    heads.append(ids[b + i])
                     p = prefix(s, shared.value, percent)
                     hashes.append(p)
                     counts.append(len(p))
@@ -124,8 +124,9 @@ def _prefixes(width: int, percent: int, shared, n_parts: int):
                 continue
             head = np.array(heads, np.int64)
             h = np.concatenate(hashes)
-            doc = np.repeat(np.arange(len(heads), dtype=np.uint32), counts)
-            place = (np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint32)
+            doc = np.repeat(np.arange(len(heads)), counts)
+            # a place beyond 65,535 counts as that: the positional bound only gets looser
+            place = np.minimum(np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts), 65535).astype(np.uint16)
             part = (mix(h) % np.uint64(n_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(n_parts + 1))
@@ -141,118 +142,156 @@ def _prefixes(width: int, percent: int, shared, n_parts: int):
     return run
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     docs, rows = np.frombuffer(blob, np.int64, 2)
-    head = np.frombuffer(blob, np.int64, 4 * docs, 16).reshape(-1, 4)
-    at = 16 + 32 * docs
-    return head, np.frombuffer(blob, np.uint64, rows, at), np.frombuffer(blob, np.uint32, rows, at + 8 * rows), np.frombuffer(blob, np.uint32, rows, at + 12 * rows)
-
-
-_BUCKET = "hash long, doc_id long, n int, place int"
-
-
-def _buckets(table: pa.Table) -> pa.Table:
-    """Entries of hashes that two or more different sets have; equal sets are the smallest id among them."""
-    heads, hashes, docs, places, shift = [], [], [], [], 0
-    for blob in table["blob"]:
-        head, h, doc, place = _unpacked(blob.as_py())
-        heads.append(head)
-        hashes.append(h)
-        docs.append(doc.astype(np.int64) + shift)
-        places.append(place)
-        shift += len(head)
-    head, h, doc, place = (np.concatenate(x) for x in (heads, hashes, docs, places))
-    # sets in order of fingerprint, size and id: the first of equal ones stands for them
-    order = np.lexsort((head[:, 0], head[:, 1], head[:, 3], head[:, 2]))
-    own = head[order]
-    new = np.ones(len(own), bool)
-    new[1:] = (own[1:, 1:] != own[:-1, 1:]).any(axis=1)
-    stands = np.empty(len(own), np.int64)
-    stands[order] = own[new, 0][np.cumsum(new) - 1]
-    same = np.empty(len(own), np.int64)
-    same[order] = np.cumsum(new) - 1
-    key = np.lexsort((same[doc], h))
-    h, doc, place = h[key], doc[key], place[key]
-    cls = same[doc]
+    ids = np.frombuffer(blob, np.int64, docs, 16)
+    at = 16 + 8 * docs
+    return np.frombuffer(blob, np.uint64, rows, at), ids[np.frombuffer(blob, np.uint32, rows, at + 8 * rows)], np.frombuffer(blob, np.uint16, rows, at + 12 * rows)
+
+
+#: Under a hash with more documents than this, pairs are dealt out by the hash itself.
+_MANY = 4096
+_ENTRY = "same long, rank int, hash long, doc_id long, place int, lead long"
+_BUCKET = "hash long, doc_id long, place int, lead long"
+
+
+def _entries(table: pa.Table, classes: np.ndarray) -> pa.Table:
+    """Entries of hashes that two or more documents have. ``same`` is a fingerprint of the hash's documents, ``rank`` its rarity.
+
+    ``lead``, the smallest id, brings hashes of one family of documents to one task, where a pair that comes under many of
+    them is one pair; a hash with very many documents goes by itself.
+    """
+    h, ids, place = (np.concatenate(x) for x in zip(*(_unpacked(b.as_py()) for b in table["blob"]), strict=True))
+    order = np.lexsort((ids, h))
+    h, ids, place = h[order], ids[order], place[order]
     first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])
-    h, doc, place = h[first], doc[first], place[first]
+    first[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
+    h, ids, place = h[first], ids[first], place[first]
     lone = np.ones(len(h) + 1, bool)
     lone[1:-1] = h[1:] != h[:-1]
     keep = ~(lone[:-1] & lone[1:])
-    return pa.table({"hash": h[keep].view(np.int64), "doc_id": stands[doc[keep]], "n": head[doc[keep], 1].astype(np.int32), "place": place[keep].astype(np.int32)})
+    h, ids, place = h[keep], ids[keep], place[keep]
+    start = np.flatnonzero(lone[:-1][keep])
+    prints = np.add.reduceat(mix(ids.view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start) if len(start) else np.zeros(0, np.uint64)
+    size = np.diff(np.append(start, len(h)))
+    fingerprint = np.repeat(prints, size).view(np.int64)
+    lead = np.repeat(np.where(size > _MANY, h[start].view(np.int64), np.minimum.reduceat(ids, start)) if len(start) else size, size)
+    return pa.table({"same": fingerprint, "rank": classes[(h >> _SHIFT).astype(np.int64)].astype(np.int32), "hash": h.view(np.int64), "doc_id": ids, "place": place.astype(np.int32), "lead": lead.astype(np.int64)})
+
+
+def _first_of_same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of hashes with the same documents only the first in the global order: there every pair of them has its smallest places.
+
+    The stream is sorted by fingerprint, rank and hash.
+    """
+    same = first = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        s, h = batch["same"].to_numpy(), batch["hash"].to_numpy().view(np.uint64)
+        start = np.flatnonzero(np.concatenate(([s[0] != same], s[1:] != s[:-1])))
+        chosen = np.empty(len(s), np.uint64)
+        if not len(start) or start[0]:
+            chosen[: start[0] if len(start) else len(s)] = first
+        for a, b in zip(start, [*start[1:], len(s)], strict=True):
+            chosen[a:b] = h[a]
+        same, first = s[-1], chosen[-1]
+        yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(chosen == h)) for c in ("hash", "doc_id", "place", "lead")], ["hash", "doc_id", "place", "lead"])
 
 
 def _passes(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent: int) -> np.ndarray:
-    """Length and positional filters; places count from 0. Of equal sums the needed overlap is t / (1 + t) of both sizes."""
+    """Length and positional filters, n1 <= n2; places count from 0. The needed overlap is t / (1 + t) of both sizes.
+
+    The smaller set needs at least 2 t / (1 + t) of its own size, so its shorter prefix for that holds a common shingle too.
+    """
     need = -(-percent * (n1 + n2) // (100 + percent))
-    most = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1, n2 - p2) - 1
-    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (most >= need)
+    most = np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2)
+    return (100 * n1 >= percent * n2) & (most >= need) & (p1 <= n1 - -(-2 * percent * n1 // (100 + percent)))
 
 
-def _pairs(percent: int, every: bool):
-    """Candidate pairs of a stream sorted by hash, size and id: neighbours, or all pairs of different groups."""
+LEAD, EVERY = range(2)
+
+
+def _allowed(x: np.ndarray, y: np.ndarray, n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
+    """Suffix filter: the overlap that the sets' histograms allow, bin by bin, is enough. A full bin bounds nothing."""
+    full = (x == 65535) | (y == 65535)
+    most = np.where(full, np.minimum(n1, n2)[:, None], np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+    return most >= -(-percent * (n1 + n2) // (100 + percent))
+
+
+def _pairs(percent: int, mode: int):
+    """Candidate pairs of different groups in a stream sorted by hash, size and id: all with the hash's smallest id, or all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         names = ("hash", "doc_id", "n", "place", "grp")
+        held, kept, size = None, [], 0
 
-        def table(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            u = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        def table(pairs: list[np.ndarray]) -> pa.RecordBatch:
+            u = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u[:, 0])), pa.array(np.ascontiguousarray(u[:, 1]))], ["a", "b"])
 
-        def found(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            h, doc, n, place, grp = (x[c] for c in names)
-            start = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0) if len(h) else np.zeros(0, np.int64)
-            end = np.repeat(np.append(start[1:], len(h)), np.diff(np.append(start, len(h))))
-            rows, step, out, size = np.arange(len(h)), 1, [], 0
+        def found(x: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+            # equal sets are one document now: a hash has it once
+            h, doc = x["hash"], x["doc_id"]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            h, doc, n, place, grp = (x[c][new] for c in names)
+            bins = x["bins"][new]
+            start = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
+            length = np.diff(np.append(start, len(h)))
+
+            def passing(i: np.ndarray, j: np.ndarray) -> Iterator[np.ndarray]:
+                ok = (grp[i] != grp[j]) & (doc[i] != doc[j])
+                i, j = i[ok], j[ok]
+                ok = _passes(n[i], place[i], n[j], place[j], percent)
+                i, j = i[ok], j[ok]
+                for b in range(0, len(i), 1 << 15):
+                    k, m = i[b : b + (1 << 15)], j[b : b + (1 << 15)]
+                    ok = _allowed(bins[k], bins[m], n[k], n[m], percent)
+                    k, m = doc[k[ok]], doc[m[ok]]
+                    yield np.stack([np.minimum(k, m), np.maximum(k, m)], axis=1)
+
+            rows = np.arange(len(h))
+            if mode == LEAD:
+                least = np.repeat(np.minimum.reduceat(doc, start), length)
+                lead = np.repeat(rows[doc == least], length)
+                yield from passing(np.minimum(rows, lead), np.maximum(rows, lead))
+                return
+            end, step = np.repeat(start + length, length), 1
             while True:
                 rows = rows[rows + step < end[rows]]
                 # sizes ascend under a hash: a row too short for this one is too short for all later ones
                 rows = rows[100 * n[rows] >= percent * n[rows + step]] if len(rows) else rows
                 if not len(rows):
-                    break
-                other = rows + step
-                ok = _passes(n[rows], place[rows], n[other], place[other], percent) & (grp[rows] != grp[other]) & (doc[rows] != doc[other])
-                out.append((doc[rows[ok]], doc[other[ok]]))
-                size += int(ok.sum())
-                if size > 1 << 20:
-                    yield table(*(np.concatenate(c) for c in zip(*out, strict=True)))
-                    out, size = [], 0
-                if not every:
-                    break
+                    return
+                yield from passing(rows, rows + step)
                 step += 1
-            if out:
-                yield table(*(np.concatenate(c) for c in zip(*out, strict=True)))
+
+        def collected(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal kept, size
+            for part in found(x):
+                kept.append(part)
+                size += len(part)
+                if size > 1 << 20:  # the same pair comes under many hashes
+                    u = np.unique(np.concatenate(kept), axis=0)
+                    kept, size = [u], len(u)
+                    if size > 1 << 19:
+                        yield table(kept)
+                        kept, size = [], 0
 
         for batch in batches:
             x = {c: batch[c].to_numpy().astype(np.int64) for c in names}
+            x["bins"] = np.frombuffer(b"".join(batch["bins"].to_pylist()), np.uint16).reshape(-1, BINS)
             if held is not None:
-                x = {c: np.concatenate([held[c], x[c]]) for c in names}
+                x = {c: np.concatenate([held[c], v]) for c, v in x.items()}
             last = int(np.searchsorted(x["hash"], x["hash"][-1], "left")) if len(x["hash"]) else 0
             held = {c: v[last:] for c, v in x.items()}
             if last:
-                yield from found({c: v[:last] for c, v in x.items()})
-        if held is not None:
-            yield from found(held)
-
-    return run
-
-
-def _suffix(percent: int):
-    """Pairs whose histograms allow the overlap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int64) for c in ("bins_a", "bins_b"))
-            # a bin that is full counts as the other's size: it bounds nothing
-            full = (x == 65535) | (y == 65535)
-            n = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
-            most = np.where(full, np.minimum(batch["n_a"].to_numpy(), batch["n_b"].to_numpy())[:, None], np.minimum(x, y)).sum(axis=1)
-            ok = most >= -(-percent * n // (100 + percent))
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok)), batch["b"].filter(pa.array(ok))], ["a", "b"])
+                yield from collected({c: v[:last] for c, v in x.items()})
+        if held is not None and len(held["hash"]):
+            yield from collected(held)
+        if kept:
+            yield table(kept)
 
     return run
 
@@ -269,7 +308,7 @@ def _slots(ids: np.ndarray) -> np.ndarray:
 
 
 def _texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and compressed text of the documents with these ids. A bitmap of fixed size lets most others go before the shuffle."""
+    """doc_id and compressed text of the documents with these ids, and of a few others: a bitmap of fixed size tells, a join must follow."""
     spark = documents.sparkSession
     per = (1 << BITMAP_BITS) // _CHUNKS
 
@@ -291,8 +330,7 @@ def _texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
             texts = [zstandard.compress(batch["text"][int(i)].as_py().encode(), 3) for i in keep]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(keep)), pa.array(texts, pa.binary())], ["doc_id", "packed"])
 
-    some = documents.where("doc_id is not null and text is not null").mapInArrow(picked, "doc_id long, packed binary")
-    return written(some.join(ids, "doc_id", "left_semi"), "join-texts")
+    return documents.where("doc_id is not null and text is not null").mapInArrow(picked, "doc_id long, packed binary")
 
 
 def _verified(width: int, percent: int):
@@ -354,33 +392,35 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     classes = spark.sparkContext.broadcast(rarity(both.where("sketch").select("n", "bins")))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    blobs = docs.mapInArrow(_prefixes(width, percent, classes, n_parts), "part int, blob binary")
-    buckets = written(blobs.groupBy("part").applyInArrow(_buckets, _BUCKET), "join-buckets")
-    # one row for each id that stands for its class
+    # one row for each set, with the smallest id that has it; members says which set (or sets) an id has
     classes_of = sets.where("n > 0 and doc_id is not null").groupBy("low", "high", "n").agg(F.min("doc_id").alias("stands"), F.min("bins").alias("bins"))
     classes_of = written(classes_of, "join-classes")
-    bins = classes_of.groupBy(F.col("stands").alias("doc_id")).agg(F.min("n").alias("n"), F.min("bins").alias("bins"), F.count("*").alias("k"))
-    # an id that repeats with different texts has several sets: no histogram speaks for it
-    bins = bins.select("doc_id", "n", F.when(F.col("k") == 1, F.col("bins")).otherwise(F.lit(b"\xff" * 2 * BINS)).alias("bins"))
-
-    def verified(grouped: DataFrame, every: bool, texts: DataFrame) -> DataFrame:
-        ordered = grouped.select("hash", "doc_id", "n", "place", "grp").repartition("hash").sortWithinPartitions("hash", "n", "doc_id")
-        pairs = ordered.mapInArrow(_pairs(percent, every), "a long, b long").distinct()
-        left = bins.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bins").alias("bins_a"))
-        right = bins.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bins").alias("bins_b"))
-        pairs = written(pairs.join(left, "a").join(right, "b").mapInArrow(_suffix(percent), "a long, b long"), "join-pairs")
+    members = sets.select("doc_id", "low", "high", "n").join(classes_of, ["low", "high", "n"]).select("doc_id", "stands", F.col("n").cast("int").alias("n"), "bins")
+
+    blobs = docs.mapInArrow(_prefixes(width, percent, classes, n_parts), "part int, blob binary")
+    entries = blobs.groupBy("part").applyInArrow(lambda t: _entries(t, classes.value), _ENTRY)
+    entries = entries.repartition("same").sortWithinPartitions("same", "rank", "hash")
+    buckets = entries.mapInArrow(_first_of_same, _BUCKET).join(members, "doc_id")
+    buckets = written(buckets.select("hash", F.col("stands").alias("doc_id"), "n", "place", "bins", "lead"), "join-buckets")
+
+    def verified(grouped: DataFrame, mode: int) -> DataFrame:
+        ordered = grouped.select("hash", "doc_id", "n", "place", "grp", "bins", "lead").repartition("lead").sortWithinPartitions("hash", "n", "doc_id")
+        pairs = written(ordered.mapInArrow(_pairs(percent, mode), "a long, b long").distinct(), "join-pairs")
         # partners of one document go in chunks, each after a copy of the document
         dealt = pairs.withColumn("chunk", (F.row_number().over(Window.partitionBy("a").orderBy("b")) / 256).cast("int"))
         rows = dealt.select("a", "chunk", F.lit(1).alias("own"), "b").unionByName(dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("own"), F.col("a").alias("b")))
+        texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
         full = rows.join(texts.select(F.col("doc_id").alias("b"), "packed"), "b").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "own", "b")
         return written(full.select("a", "chunk", "own", "b", "packed").mapInArrow(_verified(width, percent), "a long, b long"), "join-links")
 
-    texts = _texts(docs, buckets.select("doc_id").distinct())
-    links = verified(buckets.withColumn("grp", F.col("doc_id")), False, texts)
-    found = written(components(links), "join-groups")
-    grouped = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id"))
-    links = links.unionByName(verified(grouped, True, texts))
-    found = components(links)
+    links, found = None, None
+    for mode in (LEAD, EVERY):
+        grouped = buckets.withColumn("grp", F.col("doc_id"))
+        if found is not None:
+            grouped = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id"))
+        more = verified(grouped, mode)
+        links = more if links is None else links.unionByName(more)
+        found = written(components(links), "join-groups")
 
     of_class = classes_of.join(found.withColumnRenamed("node", "stands"), "stands", "left").select("low", "high", "n", F.coalesce("component", "stands").alias("component_id"))
     return sets.select("doc_id", "n", "low", "high").join(of_class, ["low", "high", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
