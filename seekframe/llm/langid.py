@@ -208,22 +208,23 @@ def fit(labelled: DataFrame, most_documents: int = MOST_DOCUMENTS, most_runs: in
     ids = sampled(usable.select("doc_id"), "doc_id", most_documents).distinct()  # at most most_documents ids
     rows = usable.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang")
     counts = rows.select("lang", "text").mapInArrow(_counted, "lang string, run binary, n long").groupBy("run").agg(F.collect_list(F.struct("lang", "n")).alias("seen"))
-    found = sampled(counts, "run", most_runs).collect()
-    languages = sorted({s["lang"] for r in found for s in r["seen"]})
+    # as Arrow columns, not rows: a few megabytes on the driver
+    table = sampled(counts, "run", most_runs).select("run", F.explode("seen").alias("s")).select("run", "s.lang", "s.n").toArrow()
+    languages = sorted(table["lang"].unique().to_pylist())
     net = BiGRU(languages)
     if not languages:
         return net
-    number = {x: i for i, x in enumerate(languages)}
-    weights = np.zeros((len(found), len(languages)))
-    for i, r in enumerate(found):
-        for s in r["seen"]:
-            weights[i, number[s["lang"]]] += s["n"]
+    coded = table["run"].combine_chunks().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    weights = np.zeros((len(words), len(languages)))
+    number = np.searchsorted(languages, table["lang"].to_numpy(zero_copy_only=False).astype(str))
+    np.add.at(weights, (coded.indices.to_numpy(), number), table["n"].to_numpy())
     weights /= np.maximum(weights.sum(axis=0), 1)
     weights *= 1e6
     grouped: dict[int, list[int]] = defaultdict(list)
-    for i, r in enumerate(found):
-        grouped[len(r["run"])].append(i)
-    runs = {n: (np.frombuffer(b"".join(bytes(found[i]["run"]) for i in at), np.uint8).reshape(-1, n), weights[at]) for n, at in grouped.items()}
+    for i in sorted(range(len(words)), key=words.__getitem__):
+        grouped[len(words[i])].append(i)
+    runs = {n: (np.frombuffer(b"".join(words[i] for i in at), np.uint8).reshape(-1, n), weights[at]) for n, at in sorted(grouped.items())}
     net.train(runs, steps)
     return net
 
