@@ -103,7 +103,8 @@ def rules(rows: DataFrame) -> DataFrame:
 def assess(documents: DataFrame, ratio: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the counts, base_failed, score and kept of every document."""
     rows = rules(_hashed(documents.select("doc_id", "text")))
-    shared = F.lit(ratio)
+    # one folded literal: a list would be an expression for each bucket
+    shared = F.split(F.lit(",".join(map(repr, ratio))), ",").cast("array<double>")
     n = len(ratio)
 
     def total(name: str) -> Column:
