@@ -153,6 +153,8 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _MANY = 4096
 _ENTRY = "same long, rank int, hash long, doc_id long, place int, lead long"
 _BUCKET = "hash long, doc_id long, place int, lead long"
+#: Flipped, a signed column sorts as the unsigned hashes in prefixes do.
+_TOP = np.uint64(1 << 63)
 
 
 def _entries(table: pa.Table, classes: np.ndarray) -> pa.Table:
@@ -176,13 +178,13 @@ def _entries(table: pa.Table, classes: np.ndarray) -> pa.Table:
     size = np.diff(np.append(start, len(h)))
     fingerprint = np.repeat(prints, size).view(np.int64)
     lead = np.repeat(np.where(size > _MANY, h[start].view(np.int64), np.minimum.reduceat(ids, start)) if len(start) else size, size)
-    return pa.table({"same": fingerprint, "rank": classes[(h >> _SHIFT).astype(np.int64)].astype(np.int32), "hash": h.view(np.int64), "doc_id": ids, "place": place.astype(np.int32), "lead": lead.astype(np.int64)})
+    return pa.table({"same": fingerprint, "rank": classes[(h >> _SHIFT).astype(np.int64)].astype(np.int32), "hash": (h ^ _TOP).view(np.int64), "doc_id": ids, "place": place.astype(np.int32), "lead": lead.astype(np.int64)})
 
 
 def _first_of_same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of hashes with the same documents only the first in the global order: there every pair of them has its smallest places.
 
-    The stream is sorted by fingerprint, rank and hash.
+    The stream is sorted by fingerprint, rank and hash, the hash with its top bit flipped: the order of prefixes.
     """
     same = first = None
     for batch in batches:

@@ -339,6 +339,15 @@ def test_ngram_join(spark):
     assert ngram_join.join(docs(spark, texts, ids).where("false")).count() == 0
 
 
+def test_rare_shingles_keep_their_order(spark):
+    texts = []
+    for k in range(80):
+        own, shared = [f"w{k}x{i}" for i in range(24)], [f"s{k % 4}x{i}" for i in range(96)]
+        texts += [" ".join(own + shared), " ".join(own + shared[:-20])]  # 96 of 116 shingles; 24 of them are rare
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["node"]: r["component"] for r in ngram_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
