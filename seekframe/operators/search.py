@@ -96,18 +96,19 @@ def _order() -> list[Column]:
     return [F.desc("score"), F.collate(F.col("label"), "UNICODE"), F.col("fam"), F.col("ord")]
 
 
-def ranked(rows: DataFrame, limit: int) -> DataFrame:
-    """The top ``limit`` distinct results: score, then label in the locale's order, then corpus order."""
-    if limit < 0:
+def ranked(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The top ``limit`` distinct results, None for all: score, then label in the locale's order, then corpus order."""
+    if limit is not None and limit < 0:
         raise ValueError("limit is negative")
-    return _best(rows).orderBy(*_order()).limit(limit)
+    best = _best(rows).orderBy(*_order())
+    return best if limit is None else best.limit(limit)
 
 
 def _empty(any_rows: DataFrame) -> DataFrame:
     return any_rows.where(F.lit(False))
 
 
-def search(query: str, symbols: DataFrame | None = None, files: DataFrame | None = None, text: DataFrame | None = None, where: str = "all", most_text: int = MOST_TEXT, limit: int = MOST_RESULTS, least_file_score: int = 0) -> DataFrame:
+def search(query: str, symbols: DataFrame | None = None, files: DataFrame | None = None, text: DataFrame | None = None, where: str = "all", most_text: int = MOST_TEXT, limit: int | None = MOST_RESULTS, least_file_score: int = 0) -> DataFrame:
     """Ranked results of one query over the given candidates; a blank query has none."""
     q, kinds = normalise(query), scope(where)
     parts = []

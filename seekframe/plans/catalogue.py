@@ -146,7 +146,7 @@ _add("search_limit", _symbol_search("red", "nonsense", 7), _symbol_sql("red", SC
 
 
 def _kind_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search("bolt", symbols=_symbols(spark, sf_dir), where="symbols", limit=1_000_000).groupBy("kind").agg(F.max("score").alias("best"), F.min("score").alias("worst"), F.count("*").alias("n"))
+    return search.search("bolt", symbols=_symbols(spark, sf_dir), where="symbols", limit=None).groupBy("kind").agg(F.max("score").alias("best"), F.min("score").alias("worst"), F.count("*").alias("n"))
 
 
 _add("kind_weighting", _kind_weighting, f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows("bolt", SCOPES['symbols'])}, best AS ({_ranked('sr', None)}) SELECT kind, CAST(max(score) AS INTEGER) AS best, CAST(min(score) AS INTEGER) AS worst, count(*) AS n FROM best GROUP BY kind")
@@ -188,7 +188,7 @@ def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FF = f"ff AS (SELECT *, regexp_extract(relative_path, '[^/]*$') AS label FROM ({views.FILES}))"
 _TL = f"tl AS (SELECT * REPLACE (ord * 1000000 + line AS ord) FROM ({_lines('(' + views.FILES + ')')}))"
 _add("search_files", lambda s, d: search.search("en/12", files=_files(s, d), where="files"), f"WITH RECURSIVE {_FF}, {_file_rows('en/12')}, best AS ({_ranked('fr', 150)}) SELECT {_RESULT} FROM best")
-_add("file_floor", lambda s, d: search.search("zzzz", files=_files(s, d), where="files", limit=1_000_000).agg(F.min("score").alias("floor"), F.count("*").alias("n")), f"WITH RECURSIVE {_FF}, {_file_rows('zzzz')}, best AS ({_ranked('fr', None)}) SELECT CAST(min(score) AS INTEGER) AS floor, count(*) AS n FROM best")
+_add("file_floor", lambda s, d: search.search("zzzz", files=_files(s, d), where="files", limit=None).agg(F.min("score").alias("floor"), F.count("*").alias("n")), f"WITH RECURSIVE {_FF}, {_file_rows('zzzz')}, best AS ({_ranked('fr', None)}) SELECT CAST(min(score) AS INTEGER) AS floor, count(*) AS n FROM best")
 _add("search_text_capped", lambda s, d: search.search("thing in", text=search.text_candidates(_text(s, d)), where="text"), f"WITH RECURSIVE {_TL}, {_text_rows('thing in', 80)}, best AS ({_ranked('tr', 150)}) SELECT {_RESULT} FROM best")
 _add(
     "search_all_topk",
@@ -244,7 +244,7 @@ _ORD = "CAST(list_position(['class', 'interface', 'type', 'function', 'file', 't
 for _name, _caps in (("group_panel", search.PANEL_CAPS), ("group_pick", search.PICK_CAPS)):
     _add(
         _name,
-        lambda s, d, caps=_caps: search.grouped(search.search("e", symbols=_symbols(s, d), where="symbols", limit=100_000), caps).select("kind", "label", "score", "relative_path", "line", "rank", "group_ord"),
+        lambda s, d, caps=_caps: search.grouped(search.search("e", symbols=_symbols(s, d), where="symbols", limit=None), caps).select("kind", "label", "score", "relative_path", "line", "rank", "group_ord"),
         f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows('e', SCOPES['symbols'])}, best AS ({_ranked('sr', 100_000)}) SELECT kind, label, CAST(score AS INTEGER) AS score, relative_path, line, CAST(rank AS INTEGER) AS rank, {_ORD} AS group_ord FROM ({_GROUP}) WHERE rank <= {_caps[None]}",
     )
 _add("printed_results", lambda s, d: search.printed(_symbol_search("bolt")(s, d)), f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows('bolt', SCOPES['symbols'])}, best AS ({_ranked('sr', 150)}) SELECT rpad(kind, 9, ' ') || ' ' || label || '  ' || relative_path || ':' || (line + 1) AS row FROM best")

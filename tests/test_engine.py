@@ -1,5 +1,7 @@
 """Golden values and invariants of the search engine."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,15 @@ def test_ranking(spark):
     assert '"relativePath":"cmd/create-kubeconfig.go"' in search.as_json(search.search("create-kubeconfig", symbols=symbols)).first()["row"]
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="no tables")
+@pytest.mark.parametrize("name", ["file_floor", "kind_weighting", "group_panel", "group_pick"])
+def test_whole_results(spark, name):
+    from seekframe.plans import catalogue
+
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" not in plan
+
+
 def test_label_order(spark):
     labels = ["_a", "1", "a", "A", "a b", "a-b", "ab", "b", "B", "é", "Z"]
     df = spark.createDataFrame([(x,) for x in reversed(labels)], "x string")
