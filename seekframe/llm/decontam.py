@@ -3,7 +3,8 @@
 Every training passage (``window`` words, one starting every ``stride``) is a query against the test items.  Items lie in
 blocks; for each term the index holds its largest impact in each block and over all.  A passage goes on only with the
 blocks whose summed block maxima reach the threshold (first the global maxima, then block by block), and only there
-are items scored in full.  The threshold is a share of an item's own best score, so long and short items are alike.
+are items scored in full.  The threshold is a share of an item's own best score, or of its weakest part of ``window`` words
+where that is less, so long and short items are alike: an item that a document holds whole is retrieved, however long.
 What passes is verified against the document: the item's text is cut into question (all sentences but the last)
 and answer (the last), and shares of their word ``n``-grams found in the document decide.
 
@@ -30,7 +31,7 @@ from .blocks import LETTER_BREAK, Words, raw, shingle_hashes, slices
 
 #: Passage length and step in words, n of the verifying n-grams, items of a block, items of a chunk.
 WINDOW, STRIDE, N, BLOCK, CHUNK = 48, 24, 4, 8, 20_000
-#: Share of an item's own BM25 score that a passage must reach, and shares of n-grams that verify it.
+#: Share of the BM25 score of an item, or of its weakest window, that a passage must reach, and shares of n-grams that verify it.
 THRESHOLD, QUESTION, ANSWER = 0.3, 0.5, 0.5
 K1, B = 1.2, 0.75
 _HIT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -59,6 +60,25 @@ def _grams(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(grams[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
+def _weakest(code: np.ndarray, value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The least sum of values over the distinct codes of any ``WINDOW`` words in a row of each item; of all words, if it has no more."""
+    n = len(code)
+    item = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((np.arange(n), code, item))
+    again = np.flatnonzero((np.diff(code[order], prepend=-1) == 0) & (np.diff(item[order], prepend=-1) == 0))
+    before = first[item] - 1  # the word's place before, which windows that count this one start after
+    before[order[again]] = order[again - 1]
+    last = np.maximum(first[1:] - WINDOW, first[:-1])[item]  # the item's last window
+    at = np.arange(n)
+    low, high = np.maximum(before + 1, np.maximum(at - WINDOW + 1, first[item])), np.minimum(at, last)
+    ok = low <= high
+    sums = np.cumsum(np.bincount(low[ok], value[ok], n + 1) - np.bincount(high[ok] + 1, value[ok], n + 1))[:n]
+    out = np.full(len(first) - 1, np.inf)
+    starts = at <= last
+    np.minimum.at(out, item[starts], sums[starts])
+    return out
+
+
 class Index:
     """Terms' sorted hashes, their postings, and the largest impacts by term and block."""
 
@@ -67,7 +87,7 @@ class Index:
         words = _words(pa.array(texts, pa.string()))
         h, item = words.hashes(), words.document()
         n = len(ids)
-        pair, tf = np.unique(np.stack([h, item.astype(np.uint64)], axis=1), axis=0, return_counts=True)
+        pair, back, tf = np.unique(np.stack([h, item.astype(np.uint64)], axis=1), axis=0, return_inverse=True, return_counts=True)
         self.terms, term = np.unique(pair[:, 0], return_inverse=True)
         item = pair[:, 1].astype(np.int64)
         df = np.bincount(term, minlength=len(self.terms))
@@ -81,7 +101,9 @@ class Index:
         self.own = np.bincount(item, impact, n)
         self.blocks = -(-n // BLOCK)
         # block maxima relative to the least threshold of the block's items, so that 1 is enough for any of them
-        self.least = np.where(self.own > 0, THRESHOLD * self.own, np.inf)
+        back = back.ravel()
+        reach = np.minimum(self.own, _weakest(back, impact[back], np.asarray(words.first, np.int64)))
+        self.least = np.where(self.own > 0, THRESHOLD * reach, np.inf)
         relative = impact / self.least[item]
         self.block_max = np.zeros((len(self.terms), self.blocks), np.float32)
         np.maximum.at(self.block_max, (term, item // BLOCK), relative)
@@ -101,7 +123,7 @@ class Index:
         return out
 
     def retrieve(self, term: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Passage, item and score (as a share of the item's own) of all pairs at or above the threshold."""
+        """Passage, item and score (as a share of the item's own) of all pairs at or above the item's threshold."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         # word positions in the index, and the passage windows over all words of each document
         n = np.diff(first)

@@ -291,6 +291,24 @@ def test_pruning_loses_nothing():
     assert set(best) == set(brute) and all(abs(best[k] - brute[k]) < 1e-6 for k in best)
 
 
+def test_long_items(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    zipf = [1 / (i + 1) for i in range(3000)]
+    words = lambda n: " ".join(rng.choices(vocabulary, zipf, k=n))
+    items = [words(n - 10) + ". " + words(10) + "." for n in [20, 49, 60, 71, 100, 200, 250, 300, 500, 1000] * 4]
+    texts = [words(rng.randrange(200)) + ". " + items[k % 40] + " " + words(rng.randrange(200)) for k in range(80)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontam.find(docs(spark, texts + [words(900) for _ in range(20)]), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, k % 40) for k in range(80)}
+    code, first = np.array([rng.randrange(60) for _ in range(400)]), np.array([0, 0, 30, 78, 127, 400])
+    value = np.array([0.5 + c for c in range(60)])[code]
+    least = decontam._weakest(code + 100 * np.repeat(np.arange(5), np.diff(first)), value, first)
+    for k, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False)):
+        sums = [sum(0.5 + c for c in set(code[x : min(x + decontam.WINDOW, b)].tolist())) for x in range(a, max(a + 1, b - decontam.WINDOW + 1))]
+        assert a == b or abs(least[k] - min(sums)) < 1e-6
+
+
 # ---- 7
 
 
