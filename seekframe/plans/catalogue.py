@@ -318,7 +318,7 @@ _add(
     SELECT walk.b + 1, walk.remaining - per.n FROM walk JOIN per ON per.b = walk.b AND per.k = least({_PER}, greatest(walk.remaining, 0)))
   SELECT {_LINE} FROM tl JOIN f USING (ord) JOIN walk ON walk.b = f.b WHERE line < least({_PER}, greatest(remaining, 0))""",
 )
-_add("preview_trim", lambda s, d: views.table(s, d, "documents").select("doc_id", text.preview(F.substring("text", 1, 120)).alias("preview")), "SELECT doc_id, CASE WHEN length(t) > 96 THEN substr(t, 1, 93) || '...' ELSE t END AS preview FROM (SELECT doc_id, regexp_replace(substr(text, 1, 120), '^\\s+|\\s+$', '', 'g') AS t FROM documents)")
+_add("preview_trim", lambda s, d: views.table(s, d, "documents").select("doc_id", text.preview(F.col("text")).alias("preview")), "SELECT doc_id, CASE WHEN length(t) > 96 THEN substr(t, 1, 93) || '...' ELSE t END AS preview FROM (SELECT doc_id, regexp_replace(substr(text, 1, 120), '^\\s+|\\s+$', '', 'g') AS t FROM documents)")
 _add("signature_240", lambda s, d: extract.lines(views.files(s, d)).select("relative_path", "line", F.substring(text.trim(F.col("raw")), 1, text.SIGNATURE).alias("signature"), text.indent(F.col("raw")).alias("character")), f"SELECT relative_path, CAST(line AS INTEGER) AS line, substr(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), 1, 240) AS signature, CAST(length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS INTEGER) AS \"character\" FROM (SELECT relative_path, {_SPLIT.format('content')} FROM ({views.FILES}))")
 _SYMBOL = ["relative_path", "line", "character", "kind", "name", "container_name", "signature"]
 

@@ -47,6 +47,15 @@ def test_trim_and_preview(spark):
     assert (a, b, c) == ("x", "y" * 93 + "...", "z" * 96)
 
 
+def test_preview_of_whole_texts(spark, tmp_path):
+    from seekframe.plans import catalogue
+
+    texts = [" " * 200 + "late", "a" * 96 + " " * 30 + "b", "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["preview"] for r in catalogue.QUERIES["preview_trim"](spark, str(tmp_path)).collect()}
+    assert got == {0: "late", 1: "a" * 93 + "...", 2: "short"}
+
+
 def _candidates(spark):
     files = spark.createDataFrame([("w", "cmd/create-kubeconfig.go", 0), ("w", "cmd/createkubeproxyconfig.go", 1)], "workspace_folder string, relative_path string, ord long")
     rows = [("w", "cmd/create-kubeconfig.go", 4, "create-kubeconfig"), ("w", "cmd/create-kubeconfig.go", 12, "createkubeproxyconfig"), ("w", "cmd/create-kubeconfig.go", 20, "createkubeapiserverconfig"), ("w", "cmd/createkubeproxyconfig.go", 4, "createkubeproxyconfig")]
