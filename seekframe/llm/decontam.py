@@ -9,7 +9,7 @@ What passes is verified against the document: the item's text is cut into questi
 and answer (the last), and shares of their word ``n``-grams found in the document decide.
 
 The index covers a chunk of at most ``chunk_items`` items and is broadcast; more items mean more chunks, each a pass over
-the passages.  Items of fewer words than ``n`` are compared by their whole word sequence.
+the passages.  Item counts of terms and the mean length are those of all items, whatever the chunk.  Items of fewer words than ``n`` are compared by their whole word sequence.
 
 Defined results: null and empty texts and items match nothing; repeated rows and items match alike; further columns are
 ignored; empty tables give no rows.
@@ -79,10 +79,26 @@ def _weakest(code: np.ndarray, value: np.ndarray, first: np.ndarray) -> np.ndarr
     return out
 
 
+class Statistics:
+    """Number, words and sorted distinct terms of all items, and how many items hold each term."""
+
+    def __init__(self):
+        self.items = self.words = 0
+        self.terms, self.df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, texts: list[str]) -> None:
+        words = _words(pa.array(texts, pa.string()))
+        pair = np.unique(np.stack([words.hashes(), words.document().astype(np.uint64)], axis=1), axis=0)
+        self.terms, at = np.unique(np.concatenate([self.terms, pair[:, 0]]), return_inverse=True)
+        self.df = np.bincount(at, np.concatenate([self.df, np.ones(len(pair), np.int64)]), len(self.terms)).astype(np.int64)
+        self.items += len(texts)
+        self.words += int(words.first[-1])
+
+
 class Index:
     """Terms' sorted hashes, their postings, and the largest impacts by term and block."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], every: Statistics | None = None):
         self.ids = np.array(ids, np.int64)
         words = _words(pa.array(texts, pa.string()))
         h, item = words.hashes(), words.document()
@@ -91,9 +107,13 @@ class Index:
         self.terms, term = np.unique(pair[:, 0], return_inverse=True)
         item = pair[:, 1].astype(np.int64)
         df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        if every is None:
+            every = Statistics()
+            every.add(texts)
+        held = every.df[np.searchsorted(every.terms, self.terms)]
+        idf = np.log(1 + (every.items - held + 0.5) / (held + 0.5))
         length = np.diff(words.first)
-        mean = max(length.mean(), 1) if n else 1
+        mean = max(every.words / every.items, 1) if n else 1
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / mean))
         order = np.lexsort((item, term))
         self.item, self.impact = item[order], impact[order]
@@ -203,16 +223,24 @@ def matches(index: Index, texts: pa.Array, question: float = QUESTION, answer: f
 
 
 def _indexes(benchmark: DataFrame, chunk: int) -> list[Index]:
-    """One index for each chunk of items, read chunk by chunk in item order."""
+    """One index for each chunk of items, read chunk by chunk in item order, after a first pass for the statistics of all."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text")
-    out, ids, texts = [], [], []
-    for r in rows.toLocalIterator():
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        if len(ids) == chunk:
-            out.append(Index(ids, texts))
-            ids, texts = [], []
-    return [*out, Index(ids, texts)] if ids else out
+
+    def chunks() -> Iterator[tuple[list[int], list[str]]]:
+        ids, texts = [], []
+        for r in rows.toLocalIterator():
+            ids.append(r["item_id"])
+            texts.append(r["text"])
+            if len(ids) == chunk:
+                yield ids, texts
+                ids, texts = [], []
+        if ids:
+            yield ids, texts
+
+    every = Statistics()
+    for _, texts in chunks():
+        every.add(texts)
+    return [Index(ids, texts, every) for ids, texts in chunks()]
 
 
 def find(documents: DataFrame, benchmark: DataFrame, question: float = QUESTION, answer: float = ANSWER, chunk: int = CHUNK) -> DataFrame:

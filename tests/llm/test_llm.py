@@ -291,6 +291,15 @@ def test_pruning_loses_nothing():
     assert set(best) == set(brute) and all(abs(best[k] - brute[k]) < 1e-6 for k in best)
 
 
+def test_scores_are_free_of_chunks(spark):
+    rng = random.Random(12)
+    items = [" ".join(f"w{min(rng.randrange(50), rng.randrange(50))}" for _ in range(rng.randrange(8, 40))) for _ in range(41)]
+    texts = [" ".join(items[(5 * k + j) % 41] for j in range(3)) for k in range(41)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole, parts = ({(r[0], r[1]): tuple(r[2:]) for r in decontam.find(docs(spark, texts), benchmark, chunk=c).collect()} for c in (100, 8))
+    assert whole and whole == {k: pytest.approx(v) for k, v in parts.items()}
+
+
 def test_long_items(spark):
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(3000)]
