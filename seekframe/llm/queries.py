@@ -14,7 +14,7 @@ from .blocks import read
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = sentencepiece.decode(sentencepiece.encode(documents))
+    both = sentencepiece.round_trip(documents)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
     return both.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", same.alias("round_trip"))
 

@@ -1,8 +1,11 @@
 """SentencePiece encoding and decoding: batched Viterbi in numpy over a given model file.
 
-Text is cut into units (a run of word marks and what follows, which no piece crosses), each distinct unit of an Arrow
-batch is encoded once, and units of equal length advance together: hashes of all their substrings probe the sorted
-piece keys, and at each position a vectorised maximum over the pieces that end there stores the backpointer.
+Text is cut into units (a run of word marks and what follows, which no piece crosses), each distinct unit of a slice
+of rows is encoded once, and units of equal length advance together: hashes of all their substrings probe the sorted
+piece keys, and at each position a vectorised maximum over the pieces that end there stores the backpointer.  A unit of
+more than ``LONG`` bytes is cut into overlapping windows that advance together like units; where two windows have a
+piece in common, one path goes over into the other, which is exact as the path is unique.  Rows go through Python by
+slices of a few megabytes, so memory follows the slice or the longest text.
 
 For unigram models the maximum is over the sum of scores.  Merge models (BPE) score no path by a sum, so there a piece
 may follow another only where merging by rank would leave that pair as it is; the one path of such pairs is the merge
@@ -10,7 +13,8 @@ result, and the same maximum finds it.  ``follows`` decides that from the merge
 the seam.  Characters outside the vocabulary become byte pieces, or the unknown piece where a model has none.
 
 Defined results: null and empty texts have no pieces; U+2581 in a text counts as a space, as in the library; repeated
-rows are encoded alike; further columns stay; an empty table gives no rows.
+rows are encoded alike; further columns stay (one named like a result is replaced); an empty table gives no rows; texts
+of megabytes without a space are encoded whole.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -30,6 +35,10 @@ MARK = 0xFF  # stands for U+2581: no byte of UTF-8
 MODEL = os.environ.get("SEEKFRAME_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 _NO_MARK = np.zeros(256, bool)
 _INF = np.int64(1) << 40
+#: Longer units are cut into windows of this many bytes, each begun ``STEP`` bytes after the one before.
+LONG, STEP = 512, 384
+#: Piece ids that are decoded at once.
+IDS = 1 << 18
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -256,6 +265,102 @@ class Pieces:
             live, j = live[at > 0], at[at > 0]
         return start, chosen
 
+    def long_path(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First bytes and ids of the pieces of one long unit."""
+        found = self._joined(unit) if self.merges else None
+        return self._scalar_path(unit) if found is None else found
+
+    def _joined(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The paths of overlapping windows, joined where neighbours have a piece in common; None if some have none."""
+
+        def back(x: np.ndarray) -> np.ndarray:  # to the start of a character
+            for _ in range(3):
+                x = x - ((x < len(unit)) & (unit[np.minimum(x, len(unit) - 1)] & 0xC0 == 0x80))
+            return x
+
+        begin = np.arange(0, max(1, len(unit) - (LONG - STEP)), STEP)
+        begin, end = back(begin), back(np.minimum(begin + LONG, len(unit)))
+        end[-1] = len(unit)
+        paths: list = [None] * len(begin)
+        size = end - begin
+        for n in np.unique(size):
+            rows = np.flatnonzero(size == n)
+            for at in range(0, len(rows), step := max(1, (1 << 18) // int(n))):
+                some = rows[at : at + step]
+                starts, ids = self.best_paths(unit[begin[some][:, None] + np.arange(n)])
+                r, c = np.nonzero(starts)
+                cut = np.searchsorted(r, np.arange(len(some) + 1))
+                piece = ids[r, c]
+                for k, row in enumerate(some):
+                    paths[row] = (c[cut[k] : cut[k + 1]] + begin[row], piece[cut[k] : cut[k + 1]])
+        places, pieces = [], []
+        place, piece = paths[0]
+        for k in range(1, len(paths)):
+            p, q = paths[k]
+            both, i, j = np.intersect1d(place, p, assume_unique=True, return_indices=True)
+            same = np.flatnonzero(piece[i] == q[j])
+            if not len(same):
+                return None
+            m = same[len(same) // 2]
+            places.append(place[: i[m]])
+            pieces.append(piece[: i[m]])
+            place, piece = p[j[m] :], q[j[m] :]
+        return np.concatenate([*places, place]), np.concatenate([*pieces, piece])
+
+    def _scalar_path(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same dynamic programme over one unit, position by position: matches of a block of positions at a time."""
+        n = len(unit)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_SYMBOLS[unit] * _power_table(_MULTIPLIER, n), out=total[1:])
+        shift = _power_table(_INVERSE, n + 1)
+        lead = (unit & 0xC0) != 0x80
+        width = np.where(unit < 0xC0, 1, np.where(unit < 0xE0, 2, np.where(unit < 0xF0, 3, 4)))
+        width[unit == MARK] = 1
+        best, last, back = [-np.inf] * (n + 1), np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int32)
+        best[0] = 0.0
+        known: dict[tuple[int, int], bool] = {}
+
+        def fits(a: int, b: int) -> bool:
+            if (a, b) not in known:
+                known[a, b] = bool(self.follows(np.array([a]), np.array([b]))[0])
+            return known[a, b]
+
+        for low in range(1, n + 1, 1 << 14):
+            high = min(n + 1, low + (1 << 14))
+            ends, widths, ids = [], [], []
+            for w in range(1, min(self.longest, n) + 1):
+                j = np.arange(max(low, w), high)
+                i = j - w
+                found = self.probe((total[j] - total[i]) * shift[i], w)
+                some = found >= 0
+                if w <= 4:
+                    some |= lead[i] & (width[i] == w)
+                ends.append(j[some])
+                widths.append(np.full(int(some.sum()), w))
+                ids.append(found[some])
+            ends, widths, ids = (np.concatenate(x) for x in (ends, widths, ids))
+            order = np.lexsort((widths, ends))
+            for j, w, piece in zip(ends[order].tolist(), widths[order].tolist(), ids[order].tolist(), strict=True):
+                i = j - w
+                if best[i] == -np.inf:
+                    continue
+                if self.merges:
+                    if i and not fits(int(last[i]), piece):
+                        continue
+                    value = float(w)
+                else:
+                    value = best[i] + (self.scores[piece] if piece >= 0 else self.floor)
+                if value > best[j]:
+                    best[j], last[j], back[j] = value, piece, w
+        places, pieces, j = [], [], n
+        while j:
+            if not back[j]:
+                raise ValueError("a unit has no path")
+            pieces.append(last[j])
+            j -= int(back[j])
+            places.append(j)
+        return np.array(places[::-1]), np.array(pieces[::-1], np.int32)
+
     def encode_units(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units, one after the other, and n + 1 offsets."""
         counts = np.zeros(len(start), np.int64)
@@ -270,9 +375,13 @@ class Pieces:
             for at in range(b, e, step):
                 rows = order[at : min(e, at + step)]
                 units = data[start[rows][:, None] + np.arange(n)]
-                begins, ids = self.best_paths(units)
-                r, c = np.nonzero(begins)
-                piece = ids[r, c]
+                if n > LONG:
+                    found = [self.long_path(u) for u in units]
+                    r, c, piece = np.repeat(np.arange(len(rows)), [len(f[0]) for f in found]), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                else:
+                    begins, ids = self.best_paths(units)
+                    r, c = np.nonzero(begins)
+                    piece = ids[r, c]
                 # bytes of what lies outside the vocabulary
                 size = np.ones(len(r), np.int64)
                 out = piece < 0
@@ -386,45 +495,73 @@ def _cached(model: bytes, merges: bool | None) -> Pieces:
     return _loaded[key]
 
 
-def encode(documents: DataFrame, path: str = MODEL, text: str = "text", out: str = "pieces", merges: bool | None = None) -> DataFrame:
-    """The documents with a column of piece ids. The driver reads the model file; tasks get its bytes (half a megabyte)."""
+def _encoded(pieces: Pieces, batch: pa.RecordBatch, text: str, out: str) -> pa.RecordBatch:
+    ids, at = pieces.encode(batch[text])
+    column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+    return pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out])
+
+
+def _decoded(pieces: Pieces, batch: pa.RecordBatch, ids: str, out: str) -> pa.RecordBatch:
+    column = batch[ids]
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    data, to = pieces.decode(flat, at)
+    texts = [data[s:t].tobytes().decode(errors="replace") for s, t in zip(to, to[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+
+
+def _id_slices(column: pa.ListArray) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``IDS`` piece ids; a longer list is a range of its own."""
+    at = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + IDS, "right")) - 1)
+        yield begin, end
+        begin = end
+
+
+_PIECES, _TEXT = ArrayType(IntegerType(), True), StringType()
+
+
+def _model(frame: DataFrame, path: str):
+    """The driver reads the model file; tasks get its bytes (half a megabyte)."""
     with open(path, "rb") as f:
-        shared = documents.sparkSession.sparkContext.broadcast(f.read())
-    kept = documents.drop(out)
+        return frame.sparkSession.sparkContext.broadcast(f.read())
+
+
+def encode(documents: DataFrame, path: str = MODEL, text: str = "text", out: str = "pieces", merges: bool | None = None) -> DataFrame:
+    """The documents with a column of piece ids."""
+    shared, kept = _model(documents, path), documents.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _cached(shared.value, merges)
         for whole in batches:
-            for b, e in slices(whole[text], 16 << 20):
-                batch = whole.slice(b, e - b)
-                ids, at = pieces.encode(batch[text])
-                column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out])
+            for b, e in slices(whole[text]):
+                yield _encoded(pieces, whole.slice(b, e - b), text, out)
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, ArrayType(IntegerType(), True))]))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, _PIECES)]))
 
 
 def decode(rows: DataFrame, path: str = MODEL, ids: str = "pieces", out: str = "decoded") -> DataFrame:
-    """The rows with the text of their pieces. Bytes that aren't UTF-8 become replacement characters."""
-    with open(path, "rb") as f:
-        shared = rows.sparkSession.sparkContext.broadcast(f.read())
-    kept = rows.drop(out)
+    """The rows with the text of their pieces. Bytes that aren't UTF-8 become replacement characters; no list, no text."""
+    shared, kept = _model(rows, path), rows.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _cached(shared.value, False)
-        for batch in batches:
-            column = batch[ids]
-            lists = column.to_pylist() if column.null_count else None
-            if lists is not None:
-                lists = [x or [] for x in lists]
-                flat, at = np.array([i for x in lists for i in x], np.int64), np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-            else:
-                at = column.offsets.to_numpy().astype(np.int64)
-                flat = column.values.to_numpy()[at[0] : at[-1]]
-                at = at - at[0]
-            data, to = pieces.decode(flat, at)
-            whole = data.tobytes()
-            texts = [whole[s:t].decode(errors="replace") for s, t in zip(to, to[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
-
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, StringType())]))
+        for whole in batches:
+            for b, e in _id_slices(whole[ids]):
+                yield _decoded(pieces, whole.slice(b, e - b), ids, out)
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, _TEXT)]))
+
+
+def round_trip(documents: DataFrame, path: str = MODEL, text: str = "text", ids: str = "pieces", out: str = "decoded", merges: bool | None = None) -> DataFrame:
+    """The documents with their piece ids and the text that these decode to: both ways in one pass, one Python worker a task."""
+    shared, kept = _model(documents, path), documents.drop(ids, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _cached(shared.value, merges)
+        for whole in batches:
+            for b, e in slices(whole[text]):
+                yield _decoded(pieces, _encoded(pieces, whole.slice(b, e - b), text, ids), ids, out)
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(ids, _PIECES), StructField(out, _TEXT)]))

@@ -96,6 +96,37 @@ def test_unigram_scores_are_the_best_sums():
         assert math.isclose(sum(pieces.scores[i] for i in ids[at[k] : at[k + 1]]), total, rel_tol=1e-9)
 
 
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
+def test_long_units_equal_the_library():
+    lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/="
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (sentencepiece.LONG - 1, sentencepiece.LONG, 1500, 200_000)]
+    texts += ["a" * 5000, "=" * 7001, "aaa" * 3333 + "b", "ab" * 4000, "日本語テキスト" * 700, "".join(rng.choice("é中😀xqthe") for _ in range(6000))]
+    pieces = sentencepiece.load()
+    ids, at = pieces.encode(pa.array(texts))
+    assert [i for i, t in enumerate(texts) if lib.encode(t) != ids[at[i] : at[i + 1]].tolist()] == []
+    # the scalar programme gives the same path as windows, and the best sum where scores add up
+    unit = pieces._marked(*blocks.raw(pa.array([texts[2]])))[0]
+    (p, q), (r, t) = pieces._joined(unit), pieces._scalar_path(unit)
+    assert p.tolist() == r.tolist() and q.tolist() == t.tolist()
+    sums = sentencepiece.load(merges=False)
+    begins, chosen = sums.best_paths(unit[None, :300])
+    r, t = sums._scalar_path(unit[:300])
+    value = lambda x: sum(float(sums.scores[k]) if k >= 0 else sums.floor for k in x)
+    assert math.isclose(value(t.tolist()), value(chosen[begins].tolist()))
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
+def test_pieces_in_one_pass(spark):
+    texts = [*ODD, "word " * 60_000, None]
+    frame = docs(spark, texts).withColumn("pieces", F.lit(3)).withColumn("decoded", F.lit(4))
+    once = sorted((r.doc_id, r.pieces, r.decoded) for r in sentencepiece.round_trip(frame).collect())
+    twice = sorted((r.doc_id, r.pieces, r.decoded) for r in sentencepiece.decode(sentencepiece.encode(frame)).collect())
+    assert once == twice and [x[2] for x in once] == [(t or "").replace("▁", " ") for t in texts]
+    assert sentencepiece.round_trip(frame.limit(0)).collect() == []
+
+
 @pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
 def test_pieces_of_odd_rows(spark):
     rows = sentencepiece.decode(sentencepiece.encode(docs(spark, ODD).withColumn("pieces", F.lit("clash")))).orderBy("doc_id").collect()
