@@ -192,11 +192,8 @@ def _first_of_same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             continue
         s, h = batch["same"].to_numpy(), batch["hash"].to_numpy().view(np.uint64)
         start = np.flatnonzero(np.concatenate(([s[0] != same], s[1:] != s[:-1])))
-        chosen = np.empty(len(s), np.uint64)
-        if not len(start) or start[0]:
-            chosen[: start[0] if len(start) else len(s)] = first
-        for a, b in zip(start, [*start[1:], len(s)], strict=True):
-            chosen[a:b] = h[a]
+        # rows before the first new fingerprint go on with that of the batch before
+        chosen = np.repeat(np.concatenate(([np.uint64(first or 0)], h[start])), np.diff(np.concatenate(([0], start, [len(s)]))))
         same, first = s[-1], chosen[-1]
         yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(chosen == h)) for c in ("hash", "doc_id", "place", "lead")], ["hash", "doc_id", "place", "lead"])
 
