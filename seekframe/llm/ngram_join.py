@@ -6,14 +6,21 @@ occur (in powers of the square root of two), then by hash.  If two sets reach th
 Within the documents of a hash, pairs must pass the length and positional filters; distinct pairs must pass the suffix
 filter (overlap of the sets' histograms by hash, an upper bound); what is left is verified once, on the sets themselves.
 
-Copies are one class: the smallest id stands for all equal sets.  Groups need no pair of two documents that are already
-connected: a first round verifies every document of a hash with the smallest id there, a second one every pair that is
-still in different groups.  Hashes with the same documents are one.  Nothing is capped, and no document list comes to the driver: components are
-found by alternating stars, and the candidates' texts are picked out by a bitmap of fixed size and an exact join.
+Copies are one class: equal sets are one node, whichever rows have them.  Groups need no pair of two nodes that are already
+connected: a first round verifies every node of a hash with the one of the smallest id there, a second one every pair that is still
+in different groups.  Of hashes with the same nodes only the first in prefix order is kept.  Nothing is capped, and no
+document list comes to the driver: components are found by alternating stars, and the candidates' texts are picked out by a
+bitmap of fixed size and an exact join.
+
+No key is bound to one task.  Entries are dealt by hash in parts whose number follows the data; those of a hash that many
+sets of one batch have go round these parts, which only get their number and fingerprint.  What follows are aggregates with
+map-side partial results and joins that adaptive execution can split; in the second round the nodes of a hash are
+dealt out in blocks, and each pair of blocks is a group of its own.
 
 Defined results: null and empty texts have no shingles and link with nothing; a text of fewer words than ``width`` has its
 whole sequence as its one shingle; a null id links with nothing and has a null component; rows that repeat an id are all
-returned; further columns are ignored; an empty table gives no rows.
+returned, each with the component of its own text (the smallest id there, its own included); further columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Words, mix, raw, shingle_hashes, slices, written
@@ -32,7 +39,7 @@ from .blocks import Words, mix, raw, shingle_hashes, slices, written
 SKETCH_BITS, BITMAP_BITS, BINS = 20, 23, 64
 _CHUNKS = 64
 _SHIFT = np.uint64(64 - SKETCH_BITS)
-_SETS = "doc_id long, n long, low long, high long, bins binary"
+_SETS = "doc_id long, print long, n long, low long, high long, bins binary"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -64,7 +71,7 @@ def _sets(width: int):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
 
         def table(columns: list) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (*[pa.int64()] * 5, pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _SETS.split(", ")])
 
         for batch in batches:
@@ -72,10 +79,10 @@ def _sets(width: int):
                 if sum(map(len, sets)):
                     sketch += np.bincount((np.concatenate(sets) >> _SHIFT).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
                 prints = [_fingerprint(s) for s in sets]
-                yield table([batch["doc_id"].slice(b, len(sets)).to_pylist(), [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], [_bins(s) for s in sets]])
+                yield table([batch["doc_id"].slice(b, len(sets)).to_pylist(), batch["print"].slice(b, len(sets)).to_pylist(), [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], [_bins(s) for s in sets]])
         if sketch.any():
             parts = sketch.reshape(_CHUNKS, -1)
-            yield table([[None] * _CHUNKS, [-1 - k for k in range(_CHUNKS)], [0] * _CHUNKS, [0] * _CHUNKS, [zstandard.compress(p.tobytes(), 1) for p in parts]])
+            yield table([[None] * _CHUNKS, [None] * _CHUNKS, [-1 - k for k in range(_CHUNKS)], [0] * _CHUNKS, [0] * _CHUNKS, [zstandard.compress(p.tobytes(), 1) for p in parts]])
 
     return run
 
@@ -101,22 +108,33 @@ def prefix(s: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
     return s[np.argsort(rank, kind="stable")[:size]]  # s is sorted: equal classes stay in order of hash
 
 
+#: A hash that so many sets of a batch have doesn't go to its part: a third of all rows may have it.
+HOT = 16
+#: Prefix entries that a part should hold, and nodes of a hash that are paired in one group.
+PART, BLOCK = 1 << 21, 4096
+
+
 def _prefixes(width: int, percent: int, shared, n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each part of the hashes a blob: the documents of this batch that reach it, and their prefix entries."""
+        """For each part of the hashes a blob: the sets of this batch that reach it, and their prefix entries.
+
+        A set goes by its fingerprint; copies in a batch are one.  Entries of hot hashes are dealt out evenly, in blobs that
+        say so, and the hash's own part gets the sum of their sets' marks instead.
+        """
+        turn = 0
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
-            least: dict[tuple, int] = {}  # of equal sets in a batch only smaller ids than those before go on
+            known: set[tuple] = set()
             heads, hashes, counts = [], [], []
             for b, sets in shingle_sets(batch["text"], width):
                 for i, s in enumerate(sets):
                     if not len(s) or ids[b + i] is None:
                         continue
                     low, high = _fingerprint(s)
-                    if least.get(key := (low, high, len(s)), ids[b + i] + 1) <= ids[b + i]:
+                    if (key := (low, high, len(s))) in known:
                         continue
-                    least[key] = ids[b + i]
-                    heads.append(ids[b + i])
+                    known.add(key)
+                    heads.append(low)
                     p = prefix(s, shared.value, percent)
                     hashes.append(p)
                     counts.append(len(p))
@@ -127,75 +145,94 @@ def _prefixes(width: int, percent: int, shared, n_parts: int):
             doc = np.repeat(np.arange(len(heads)), counts)
             # a place beyond 65,535 counts as that: the positional bound only gets looser
             place = np.minimum(np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts), 65535).astype(np.uint16)
-            part = (mix(h) % np.uint64(n_parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(n_parts + 1))
+            _, back, often = np.unique(h, return_inverse=True, return_counts=True)
+            hot = often[back] >= HOT
+            home = (mix(h) % np.uint64(n_parts)).astype(np.int64)
+            # hot entries take turns by runs of a thousand
+            part = np.where(hot, (turn + np.cumsum(hot) // 1024) % n_parts, home)
+            turn += int(hot.sum()) // 1024 + 1
+            key = 2 * part + hot
+            order = np.argsort(key, kind="stable")
+            cut = np.flatnonzero(np.diff(key[order], prepend=-1))
             parts, blobs = [], []
-            for k in range(n_parts):
-                rows = order[cut[k] : cut[k + 1]]
-                if len(rows):
-                    used, local = np.unique(doc[rows], return_inverse=True)
+            for b, e in zip(cut, [*cut[1:], len(order)], strict=True):
+                rows = order[b:e]
+                used, local = np.unique(doc[rows], return_inverse=True)
+                parts.append(part[rows[0]])
+                blobs.append(np.array([int(hot[rows[0]]), len(used), len(rows)], np.int64).tobytes() + head[used].tobytes() + h[rows].tobytes() + local.astype(np.uint32).tobytes() + place[rows].tobytes())
+            if hot.any():
+                rows = np.flatnonzero(hot)
+                rows = rows[np.argsort(h[rows], kind="stable")]
+                start = np.flatnonzero(np.diff(h[rows], prepend=~h[rows[:1]]) != 0)
+                sums, at = np.add.reduceat(_mark(head[doc[rows]]), start), rows[start]
+                for k in np.unique(home[at]):
+                    some = home[at] == k
                     parts.append(k)
-                    blobs.append(np.array([len(used), len(rows)], np.int64).tobytes() + head[used].tobytes() + h[rows].tobytes() + local.astype(np.uint32).tobytes() + place[rows].tobytes())
+                    blobs.append(np.array([2, 0, some.sum()], np.int64).tobytes() + h[at[some]].tobytes() + sums[some].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return run
 
 
+def _mark(sets: np.ndarray) -> np.ndarray:
+    return mix(sets.view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+
+
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    docs, rows = np.frombuffer(blob, np.int64, 2)
-    ids = np.frombuffer(blob, np.int64, docs, 16)
-    at = 16 + 8 * docs
+    _, docs, rows = np.frombuffer(blob, np.int64, 3)
+    ids = np.frombuffer(blob, np.int64, docs, 24)
+    at = 24 + 8 * docs
     return np.frombuffer(blob, np.uint64, rows, at), ids[np.frombuffer(blob, np.uint32, rows, at + 8 * rows)], np.frombuffer(blob, np.uint16, rows, at + 12 * rows)
 
 
-#: Under a hash with more documents than this, pairs are dealt out by the hash itself.
-_MANY = 4096
-_ENTRY = "same long, rank int, hash long, doc_id long, place int, lead long"
-_BUCKET = "hash long, doc_id long, place int, lead long"
+_ENTRY = "head boolean, hash long, same long, rank int, set long, place int"
 #: Flipped, a signed column sorts as the unsigned hashes in prefixes do.
 _TOP = np.uint64(1 << 63)
 
 
 def _entries(table: pa.Table, classes: np.ndarray) -> pa.Table:
-    """Entries of hashes that two or more documents have. ``same`` is a fingerprint of the hash's documents, ``rank`` its rarity.
+    """Entries of hashes that two or more sets have, and for each such hash a head: a fingerprint of its sets and its rarity.
 
-    ``lead``, the smallest id, brings hashes of one family of documents to one task, where a pair that comes under many of
-    them is one pair; a hash with very many documents goes by itself.
+    The fingerprint sums a mark for each set and batch that has it.  A batch has all of a set's prefix or nothing, so hashes
+    of the same sets have the same sum.
     """
-    h, ids, place = (np.concatenate(x) for x in zip(*(_unpacked(b.as_py()) for b in table["blob"]), strict=True))
-    order = np.lexsort((ids, h))
-    h, ids, place = h[order], ids[order], place[order]
+    kinds: list[list[bytes]] = [[], [], []]
+    for b in table["blob"]:
+        blob = b.as_py()
+        kinds[int(np.frombuffer(blob, np.int64, 1)[0])].append(blob)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+    h, sets, place = (np.concatenate(x) for x in zip(none, *map(_unpacked, kinds[0]), strict=True))
+    moved, moved_sum = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    for blob in kinds[2]:
+        n = int(np.frombuffer(blob, np.int64, 3)[2])
+        moved, moved_sum = np.append(moved, np.frombuffer(blob, np.uint64, n, 24)), np.append(moved_sum, np.frombuffer(blob, np.uint64, n, 24 + 8 * n))
+    order = np.lexsort((sets, h))
+    h, sets, place = h[order], sets[order], place[order]
+    keys, start = np.unique(h, return_index=True)
+    several = np.zeros(len(keys), bool)
+    sums = np.zeros(len(keys), np.uint64)
+    if len(keys):
+        end = np.append(start[1:], len(h))
+        several = sets[start] != sets[end - 1]
+        sums = np.add.reduceat(_mark(sets), start)
+    every = np.unique(np.concatenate([keys[several], moved]))
+    total = np.zeros(len(every), np.uint64)
+    at = np.minimum(np.searchsorted(every, keys), max(len(every) - 1, 0))
+    good = every[at] == keys if len(every) else np.zeros(len(keys), bool)
+    total[at[good]] = sums[good]
+    np.add.at(total, np.searchsorted(every, moved), moved_sum)
     first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
-    h, ids, place = h[first], ids[first], place[first]
-    lone = np.ones(len(h) + 1, bool)
-    lone[1:-1] = h[1:] != h[:-1]
-    keep = ~(lone[:-1] & lone[1:])
-    h, ids, place = h[keep], ids[keep], place[keep]
-    start = np.flatnonzero(lone[:-1][keep])
-    prints = np.add.reduceat(mix(ids.view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start) if len(start) else np.zeros(0, np.uint64)
-    size = np.diff(np.append(start, len(h)))
-    fingerprint = np.repeat(prints, size).view(np.int64)
-    lead = np.repeat(np.where(size > _MANY, h[start].view(np.int64), np.minimum.reduceat(ids, start)) if len(start) else size, size)
-    return pa.table({"same": fingerprint, "rank": classes[(h >> _SHIFT).astype(np.int64)].astype(np.int32), "hash": (h ^ _TOP).view(np.int64), "doc_id": ids, "place": place.astype(np.int32), "lead": lead.astype(np.int64)})
-
-
-def _first_of_same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of hashes with the same documents only the first in the global order: there every pair of them has its smallest places.
-
-    The stream is sorted by fingerprint, rank and hash, the hash with its top bit flipped: the order of prefixes.
-    """
-    same = first = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        s, h = batch["same"].to_numpy(), batch["hash"].to_numpy().view(np.uint64)
-        start = np.flatnonzero(np.concatenate(([s[0] != same], s[1:] != s[:-1])))
-        # rows before the first new fingerprint go on with that of the batch before
-        chosen = np.repeat(np.concatenate(([np.uint64(first or 0)], h[start])), np.diff(np.concatenate(([0], start, [len(s)]))))
-        same, first = s[-1], chosen[-1]
-        yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(chosen == h)) for c in ("hash", "doc_id", "place", "lead")], ["hash", "doc_id", "place", "lead"])
+    first[1:] = (h[1:] != h[:-1]) | (sets[1:] != sets[:-1])
+    first &= np.repeat(good, np.diff(np.append(start, len(h)))) if len(h) else first
+    hot = [_unpacked(b) for b in kinds[1]]
+    h, sets, place = (np.concatenate(x) for x in zip((h[first], sets[first], place[first]), *hot, strict=True))
+    n, m = len(every), len(h)
+    flat = lambda a, b: pa.array(np.concatenate([a, b]))
+    blank = lambda k, t: np.zeros(k, t)
+    return pa.table({
+        "head": flat(np.ones(n, bool), blank(m, bool)), "hash": flat((every ^ _TOP).view(np.int64), (h ^ _TOP).view(np.int64)), "same": flat(total.view(np.int64), blank(m, np.int64)),
+        "rank": flat(classes[(every >> _SHIFT).astype(np.int64)].astype(np.int32), blank(m, np.int32)), "set": flat(blank(n, np.int64), sets), "place": flat(blank(n, np.int32), place.astype(np.int32)),
+    })
 
 
 def _passes(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent: int) -> np.ndarray:
@@ -208,9 +245,6 @@ def _passes(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, perc
     return (100 * n1 >= percent * n2) & (most >= need) & (p1 <= n1 - -(-2 * percent * n1 // (100 + percent)))
 
 
-LEAD, EVERY = range(2)
-
-
 def _allowed(x: np.ndarray, y: np.ndarray, n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
     """Suffix filter: the overlap that the sets' histograms allow, bin by bin, is enough. A full bin bounds nothing."""
     full = (x == 65535) | (y == 65535)
@@ -218,79 +252,93 @@ def _allowed(x: np.ndarray, y: np.ndarray, n1: np.ndarray, n2: np.ndarray, perce
     return most >= -(-percent * (n1 + n2) // (100 + percent))
 
 
-def _pairs(percent: int, mode: int):
-    """Candidate pairs of different groups in a stream sorted by hash, size and id: all with the hash's smallest id, or all pairs."""
+def _bins_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
+
+
+def _pair_table(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    u = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u[:, 0])), pa.array(np.ascontiguousarray(u[:, 1]))], ["a", "b"])
+
+
+def _kept(percent: int):
+    """Of given pairs (x, y) with sizes, places and histograms those that pass all filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("hash", "doc_id", "n", "place", "grp")
-        held, kept, size = None, [], 0
-
-        def table(pairs: list[np.ndarray]) -> pa.RecordBatch:
-            u = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u[:, 0])), pa.array(np.ascontiguousarray(u[:, 1]))], ["a", "b"])
-
-        def found(x: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
-            # equal sets are one document now: a hash has it once
-            h, doc = x["hash"], x["doc_id"]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            h, doc, n, place, grp = (x[c][new] for c in names)
-            bins = x["bins"][new]
-            start = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
-            length = np.diff(np.append(start, len(h)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1 << 15):
+                batch = whole.slice(at, 1 << 15)
+                x, y, nx, ny, px, py = (batch[c].to_numpy().astype(np.int64) for c in ("x", "y", "nx", "ny", "px", "py"))
+                less = nx <= ny
+                n1, n2, p1, p2 = np.where(less, nx, ny), np.where(less, ny, nx), np.where(less, px, py), np.where(less, py, px)
+                ok = np.flatnonzero(_passes(n1, p1, n2, p2, percent))
+                rows = batch.take(pa.array(ok))
+                ok = ok[_allowed(_bins_of(rows["bx"]), _bins_of(rows["by"]), n1[ok], n2[ok], percent)]
+                yield _pair_table(x[ok], y[ok])
 
-            def passing(i: np.ndarray, j: np.ndarray) -> Iterator[np.ndarray]:
-                ok = (grp[i] != grp[j]) & (doc[i] != doc[j])
-                i, j = i[ok], j[ok]
-                ok = _passes(n[i], place[i], n[j], place[j], percent)
-                i, j = i[ok], j[ok]
-                for b in range(0, len(i), 1 << 15):
-                    k, m = i[b : b + (1 << 15)], j[b : b + (1 << 15)]
-                    ok = _allowed(bins[k], bins[m], n[k], n[m], percent)
-                    k, m = doc[k[ok]], doc[m[ok]]
-                    yield np.stack([np.minimum(k, m), np.maximum(k, m)], axis=1)
-
-            rows = np.arange(len(h))
-            if mode == LEAD:
-                least = np.repeat(np.minimum.reduceat(doc, start), length)
-                lead = np.repeat(rows[doc == least], length)
-                yield from passing(np.minimum(rows, lead), np.maximum(rows, lead))
-                return
-            end, step = np.repeat(start + length, length), 1
+    return run
+
+
+def _pairs(percent: int):
+    """Candidate pairs of different groups in a stream sorted by hash, blocks, size and node; a group of rows has two blocks at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("hash", "blocks", "own", "node", "n", "place", "grp")
+
+        def found(x: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            h, blocks, own, node, n, place, grp = (x[c] for c in names)
+            start = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (blocks[1:] != blocks[:-1]))))
+            length = np.diff(np.append(start, len(h)))
+            # a group of two blocks only pairs rows of different ones
+            cross = np.repeat(np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start), length)
+            # the smaller set of a pair has the hash in its shorter prefix
+            rows, end, step = np.flatnonzero(place <= n - -(-2 * percent * n // (100 + percent))), np.repeat(start + length, length), 1
             while True:
                 rows = rows[rows + step < end[rows]]
-                # sizes ascend under a hash: a row too short for this one is too short for all later ones
+                # sizes ascend in a group: a row too short for this one is too short for all later ones
                 rows = rows[100 * n[rows] >= percent * n[rows + step]] if len(rows) else rows
                 if not len(rows):
                     return
-                yield from passing(rows, rows + step)
+                i, j = rows, rows + step
+                ok = (grp[i] != grp[j]) & (~cross[i] | (own[i] != own[j]))
+                i, j = i[ok], j[ok]
+                ok = _passes(n[i], place[i], n[j], place[j], percent)
+                i, j = i[ok], j[ok]
+                for b in range(0, len(i), 1 << 15):
+                    k, m = i[b : b + (1 << 15)], j[b : b + (1 << 15)]
+                    ok = _allowed(x["bins"][k], x["bins"][m], n[k], n[m], percent)
+                    yield node[k[ok]], node[m[ok]]
                 step += 1
 
         def collected(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            nonlocal kept, size
-            for part in found(x):
-                kept.append(part)
-                size += len(part)
-                if size > 1 << 20:  # the same pair comes under many hashes
-                    u = np.unique(np.concatenate(kept), axis=0)
-                    kept, size = [u], len(u)
-                    if size > 1 << 19:
-                        yield table(kept)
-                        kept, size = [], 0
-
+            a, b, size = [], [], 0
+            for k, m in found(x):
+                a.append(k)
+                b.append(m)
+                size += len(k)
+                if size > 1 << 19:
+                    yield _pair_table(np.concatenate(a), np.concatenate(b))
+                    a, b, size = [], [], 0
+            if size:
+                yield _pair_table(np.concatenate(a), np.concatenate(b))
+
+        held: list[dict[str, np.ndarray]] = []  # rows of the group that goes on
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = {c: batch[c].to_numpy().astype(np.int64) for c in names}
-            x["bins"] = np.frombuffer(b"".join(batch["bins"].to_pylist()), np.uint16).reshape(-1, BINS)
-            if held is not None:
-                x = {c: np.concatenate([held[c], v]) for c, v in x.items()}
-            last = int(np.searchsorted(x["hash"], x["hash"][-1], "left")) if len(x["hash"]) else 0
-            held = {c: v[last:] for c, v in x.items()}
-            if last:
+            x["bins"] = _bins_of(batch["bins"])
+            new = np.flatnonzero((x["hash"] != x["hash"][-1]) | (x["blocks"] != x["blocks"][-1]))
+            last = int(new[-1]) + 1 if len(new) else 0
+            if held and (last or (held[0]["hash"][0], held[0]["blocks"][0]) != (x["hash"][-1], x["blocks"][-1])):
+                held.append({c: v[:last] for c, v in x.items()})
+                yield from collected({c: np.concatenate([p[c] for p in held]) for c in x})
+                held = []
+            elif last:
                 yield from collected({c: v[:last] for c, v in x.items()})
-        if held is not None and len(held["hash"]):
-            yield from collected(held)
-        if kept:
-            yield table(kept)
+            held.append({c: v[last:] for c, v in x.items()})
+        if held:
+            yield from collected({c: np.concatenate([p[c] for p in held]) for c in held[0]})
 
     return run
 
@@ -306,8 +354,8 @@ def _slots(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
-def _texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and compressed text of the documents with these ids, and of a few others: a bitmap of fixed size tells, a join must follow."""
+def _texts(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, set and compressed text of the documents with these ids, and of a few others: a bitmap of fixed size tells, a join must follow."""
     spark = documents.sparkSession
     per = (1 << BITMAP_BITS) // _CHUNKS
 
@@ -325,11 +373,14 @@ def _texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = _slots(batch["doc_id"].to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
-            keep = np.flatnonzero(shared.value[at >> 3] >> (at & 7) & 1)
-            texts = [zstandard.compress(batch["text"][int(i)].as_py().encode(), 3) for i in keep]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(keep)), pa.array(texts, pa.binary())], ["doc_id", "packed"])
+            keep = pa.array(np.flatnonzero(shared.value[at >> 3] >> (at & 7) & 1))
+            some, ids_of = batch["text"].take(keep), batch["doc_id"].take(keep)
+            for b, sets in shingle_sets(some, width):
+                texts = [zstandard.compress(t.encode(), 3) for t in some.slice(b, len(sets)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([ids_of.slice(b, len(sets)), pa.array([_fingerprint(s)[0] for s in sets], pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "set", "packed"])
 
-    return documents.where("doc_id is not null and text is not null").mapInArrow(picked, "doc_id long, packed binary")
+    found = documents.where("doc_id is not null and text is not null").mapInArrow(picked, "doc_id long, set long, packed binary")
+    return found.groupBy("doc_id", "set").agg(F.min("packed").alias("packed"))  # rows that repeat are one
 
 
 def _verified(width: int, percent: int):
@@ -362,7 +413,7 @@ def _verified(width: int, percent: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and its component (its smallest node) from links (a, b), by alternating large and small stars until nothing changes."""
+    """Each node of links and its component (its smallest node) from links (a, b), by alternating large and small stars until nothing changes."""
     edges = written(links.select("a", "b").where("a <> b").distinct(), "star")
     before = None
     while True:
@@ -379,47 +430,87 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = written(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    found = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
-def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
+def _candidates(docs: DataFrame, nodes: DataFrame, classes, width: int, percent: int) -> DataFrame:
+    """hash, node, n, place and bins of the prefix entries whose hash is the first of its family of nodes."""
+    spark = docs.sparkSession
+    total = nodes.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100D) + 1"))).first()[0] or 0
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART))
+    blobs = docs.mapInArrow(_prefixes(width, percent, classes, n_parts), "part int, blob binary")
+    both = written(blobs.groupBy("part").applyInArrow(lambda t: _entries(t, classes.value), _ENTRY), "join-entries", "head")
+    firsts = both.where("head").groupBy("same").agg(F.min(F.struct("rank", "hash")).alias("f")).select("f.hash")
+    entries = both.where("not head").select("hash", "set", "place").join(firsts, "hash", "left_semi")
+    known = nodes.select(F.col("low").alias("set"), "node", "stands", F.col("n").cast("int").alias("n"), "bins")
+    return written(entries.join(known, "set").select("hash", "node", "stands", "n", "place", "bins"), "join-buckets")
+
+
+def _with_first(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the node with a hash's smallest id and each other one there."""
+    lead = buckets.groupBy("hash").agg(F.min(F.struct("stands", "node", "n", "place", "bins")).alias("lead"))
+    met = buckets.join(lead, "hash").where("node <> lead.node").where(f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
+    given = met.select(F.col("lead.node").alias("x"), F.col("node").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"), F.col("lead.place").alias("px"), F.col("place").alias("py"), F.col("lead.bins").alias("bx"), F.col("bins").alias("by"))
+    return given.mapInArrow(_kept(percent), "a long, b long")
+
+
+def _between_groups(buckets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a hash's nodes that are in different groups."""
+    grouped = buckets.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
+    short = F.expr(f"place <= n - (2 * {percent} * n + {99 + percent}) div {100 + percent}")
+    mixed = grouped.groupBy("hash").agg(F.min("grp").alias("g"), F.max("grp").alias("h"), F.bool_or(short).alias("short"), F.count("*").alias("size")).where("g < h and short").select("hash", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = grouped.join(mixed, "hash").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    # a row of block i meets block j in the group of both
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("blocks", F.expr("cast(least(own, other) as long) * blocks + greatest(own, other)"))
+    ordered = met.select("hash", "blocks", "own", "node", "n", "place", "grp", "bins").repartition("hash", "blocks").sortWithinPartitions("hash", "blocks", "n", "node")
+    return ordered.mapInArrow(_pairs(percent), "a long, b long")
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that reach the threshold, each verified once."""
+    pairs = written(candidates.distinct(), "join-pairs")
+    # partners of one node go in chunks, each after a copy of the node's own text
+    share = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("chunks"))
+    dealt = pairs.join(share, "a").select("a", F.expr("cast(pmod(xxhash64(b), chunks) as int)").alias("chunk"), "b")
+    rows = dealt.select("a", "chunk", F.lit(1).alias("own"), "b").unionByName(dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("own"), F.col("a").alias("b")))
+    needed = nodes.select("node", F.col("stands").alias("doc_id"), F.col("low").alias("set")).join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    texts = needed.join(_texts(docs, needed.select("doc_id"), width), ["doc_id", "set"]).select(F.col("node").alias("b"), "packed")
+    full = rows.join(texts, "b").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "own", "b")
+    return written(full.select("a", "chunk", "own", "b", "packed").mapInArrow(_verified(width, percent), "a long, b long"), "join-links")
+
+
+def text_print(text: Column) -> Column:
+    """Tells apart texts that stand under one id."""
+    return F.xxhash64(text)
+
+
+def join(documents: DataFrame, width: int = 5, percent: int = 80, detail: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document.
+
+    With ``detail`` also ``print``, the row's text_print, and ``grp``, a number of its component (null without shingles or id).
+    """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_print(F.col("text")).alias("print"))
     both = written(docs.mapInArrow(_sets(width), _SETS).withColumn("sketch", F.col("n") < 0), "join-sets", "sketch")
     sets = both.where("not sketch").drop("sketch")
     classes = spark.sparkContext.broadcast(rarity(both.where("sketch").select("n", "bins")))
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    # one row for each set, with the smallest id that has it; members says which set (or sets) an id has
-    classes_of = sets.where("n > 0 and doc_id is not null").groupBy("low", "high", "n").agg(F.min("doc_id").alias("stands"), F.min("bins").alias("bins"))
-    classes_of = written(classes_of, "join-classes")
-    members = sets.select("doc_id", "low", "high", "n").join(classes_of, ["low", "high", "n"]).select("doc_id", "stands", F.col("n").cast("int").alias("n"), "bins")
-
-    blobs = docs.mapInArrow(_prefixes(width, percent, classes, n_parts), "part int, blob binary")
-    entries = blobs.groupBy("part").applyInArrow(lambda t: _entries(t, classes.value), _ENTRY)
-    entries = entries.repartition("same").sortWithinPartitions("same", "rank", "hash")
-    buckets = entries.mapInArrow(_first_of_same, _BUCKET).join(members, "doc_id")
-    buckets = written(buckets.select("hash", F.col("stands").alias("doc_id"), "n", "place", "bins", "lead"), "join-buckets")
-
-    def verified(grouped: DataFrame, mode: int) -> DataFrame:
-        ordered = grouped.select("hash", "doc_id", "n", "place", "grp", "bins", "lead").repartition("lead").sortWithinPartitions("hash", "n", "doc_id")
-        pairs = written(ordered.mapInArrow(_pairs(percent, mode), "a long, b long").distinct(), "join-pairs")
-        # partners of one document go in chunks, each after a copy of the document
-        dealt = pairs.withColumn("chunk", (F.row_number().over(Window.partitionBy("a").orderBy("b")) / 256).cast("int"))
-        rows = dealt.select("a", "chunk", F.lit(1).alias("own"), "b").unionByName(dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("own"), F.col("a").alias("b")))
-        texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-        full = rows.join(texts.select(F.col("doc_id").alias("b"), "packed"), "b").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "own", "b")
-        return written(full.select("a", "chunk", "own", "b", "packed").mapInArrow(_verified(width, percent), "a long, b long"), "join-links")
-
-    links, found = None, None
-    for mode in (LEAD, EVERY):
-        grouped = buckets.withColumn("grp", F.col("doc_id"))
-        if found is not None:
-            grouped = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id"))
-        more = verified(grouped, mode)
-        links = more if links is None else links.unionByName(more)
-        found = written(components(links), "join-groups")
-
-    of_class = classes_of.join(found.withColumnRenamed("node", "stands"), "stands", "left").select("low", "high", "n", F.coalesce("component", "stands").alias("component_id"))
-    return sets.select("doc_id", "n", "low", "high").join(of_class, ["low", "high", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # one row, and a number, for each set, with the smallest id that has it
+    nodes = sets.where("n > 0 and doc_id is not null").groupBy("low", "high", "n").agg(F.min("doc_id").alias("stands"), F.min("bins").alias("bins"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
+
+    buckets = _candidates(docs, nodes, classes, width, percent)
+    links = _linked(docs, nodes, _with_first(buckets, percent), width, percent)
+    groups = written(components(links), "join-groups")
+    more = _linked(docs, nodes, _between_groups(buckets, groups, percent), width, percent)
+    groups = written(components(links.unionByName(more)), "join-groups")
+
+    least = groups.join(nodes.select("node", "stands"), "node").groupBy("component").agg(F.min("stands").alias("least"))
+    own = groups.join(least, "component")
+    of_set = nodes.select("node", "stands", "low", "high", "n").join(own, "node", "left").select("low", "high", "n", F.coalesce("least", "stands").alias("component_id"), F.coalesce("component", "node").alias("grp"))
+    of_row = sets.select("doc_id", "print", "n", "low", "high").join(of_set, ["low", "high", "n"], "left")
+    known = F.col("doc_id").isNotNull()
+    out = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id")]
+    return of_row.select(*out, *([F.col("print"), F.when(known, F.col("grp")).alias("grp")] if detail else []))

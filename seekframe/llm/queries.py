@@ -91,6 +91,21 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
 
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+OP7_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END)) AS grams FROM d),
+c AS MATERIALIZED (SELECT md5(array_to_string(grams, chr(10))) AS k, len(grams) AS n, min(doc_id) AS least, any_value(grams) AS grams FROM s WHERE len(grams) > 0 AND doc_id IS NOT NULL GROUP BY ALL),
+g AS MATERIALIZED (SELECT k, n, unnest(grams) AS gram FROM (SELECT k, n, grams FROM c)),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT x.k AS a, y.k AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS shared FROM g x JOIN g y ON x.gram = y.gram AND x.k <> y.k AND 100 * x.n >= 80 * y.n AND 100 * y.n >= 80 * x.n GROUP BY x.k, y.k)
+    WHERE 100 * shared >= 80 * (na + nb - shared)),
+r AS (SELECT k AS node, k AS reached FROM c UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached),
+m AS (SELECT r.node, min(c.least) AS component_id FROM r JOIN c ON c.k = r.reached GROUP BY r.node)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, CASE WHEN s.doc_id IS NOT NULL THEN coalesce(m.component_id, s.doc_id) END AS component_id
+FROM s LEFT JOIN m ON len(s.grams) > 0 AND m.node = md5(array_to_string(s.grams, chr(10)))"""
+
+
 #: Categories of the classifier chain over the columns of labels, in the order of prediction.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
@@ -128,4 +143,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_warc": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_warc": OP5_SQL, "op7_ngram_join": OP7_SQL}

@@ -397,6 +397,95 @@ def test_ngram_join(spark):
     assert ngram_join.join(docs(spark, texts, ids).where("false")).count() == 0
 
 
+def _by_brute_force(texts, ids):
+    sets = {}
+    for k, t in enumerate(texts):
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[k] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    groups = _components(sets)
+    least = {}
+    for k, g in groups.items():
+        least[g] = min(least.get(g, ids[k]), ids[k])
+    return sorted((ids[k], len(sets[k]), least[groups[k]] if sets[k] else ids[k]) for k in sets)
+
+
+def _joined(spark, texts, ids):
+    return sorted(tuple(r) for r in ngram_join.join(docs(spark, texts, ids)).select("doc_id", "n_shingles", "component_id").collect())
+
+
+@pytest.mark.parametrize(("rows", "hot", "block"), [(1, 16, 4096), (3, 2, 3), (1000, 2, 4)])
+def test_join_by_batches_of_any_size(spark, monkeypatch, rows, hot, block):
+    """Streams of many Arrow batches, hot hashes and hashes in several blocks; ids that stand on different texts."""
+    rng = random.Random(rows)
+    texts = [None, "", "same", "same"]
+    for _ in range(6):
+        base, family = prose(rng, 60).split(), prose(rng, 12).split()
+        for k in range(9):
+            copy = list(base)
+            copy[rng.randrange(60)] = f"n{k}"
+            texts += [" ".join(copy), " ".join([*family, *(f"u{rng.random()}" for _ in range(3))]), " ".join([f"v{k % 2}", *base[5:]])]
+    ids = [rng.randrange(len(texts) // 2) for _ in texts]
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "PART", 200)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        assert _joined(spark, texts, ids) == _by_brute_force(texts, ids)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_heads_and_entries_of_a_part():
+    """Hot entries go past their part, which still knows the hash; equal sums mean equal sets."""
+    rng = np.random.default_rng(5)
+    classes = np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8)
+    words = [[f"w{x}" for x in rng.integers(0, 25, 30)] for _ in range(60)]
+    texts = [" ".join(w) for w in words] + ["a b c d e f"] * 3 + ["a b c d e g"] * 2 + ["a b c d e h"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+
+    class Shared:
+        value = classes
+
+    def run(size, hot):
+        old, ngram_join.HOT = ngram_join.HOT, hot
+        try:
+            blobs = list(ngram_join._prefixes(1, 50, Shared, 4)(rows.slice(k, size) for k in range(0, len(texts), size)))
+        finally:
+            ngram_join.HOT = old
+        whole = pa.Table.from_batches(blobs)
+        out = [ngram_join._entries(whole.filter(pa.compute.equal(whole["part"], k)), classes).to_pydict() for k in range(4)]
+        heads = [(h, s) for o in out for h, s, x in zip(o["hash"], o["same"], o["head"], strict=True) if x]
+        entries = sorted({(h, d, p) for o in out for h, d, p, x in zip(o["hash"], o["set"], o["place"], o["head"], strict=True) if not x})
+        return heads, entries
+
+    heads, entries = run(len(texts), 10**9)
+    of = collections.defaultdict(set)
+    for h, d, _ in entries:
+        of[h].add(d)
+    assert entries and {h for h, _ in heads} == set(of) and len(heads) == len(of) and all(len(x) > 1 for x in of.values())
+    assert len({s for _, s in heads}) == len({frozenset(x) for x in of.values()})
+    for size, hot in ((1, 10**9), (7, 10**9), (7, 3), (66, 2), (30, 5)):
+        h, e = run(size, hot)
+        assert {x for x, _ in h} == set(of) and len(h) == len(of) and e == entries
+        same = collections.defaultdict(set)
+        for x, s in h:
+            same[s].add(frozenset(of[x]))
+        assert all(len(x) == 1 for x in same.values())
+
+
+def test_a_shingle_of_very_many(spark):
+    """A shingle in the prefixes of 50,000 different sets, two of them near another."""
+    n = 50_000
+    hot = " ".join(f"h{k}" for k in range(12))
+    texts = [f"a{k} b{k} {hot}" for k in range(n)] + [f"x b7 {hot}", f"a9 x {hot} {hot}"]
+    frame = spark.range(n).selectExpr("id AS doc_id", f"concat('a', id, ' b', id, ' {hot}') AS text").union(spark.createDataFrame([(n, texts[n]), (n + 1, texts[n + 1])], "doc_id long, text string")).repartition(8)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame).collect()}
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    assert near(shingles(texts[7]), shingles(texts[n])) and not near(shingles(texts[9]), shingles(texts[n + 1])) and not near(shingles(texts[1]), shingles(texts[2]))
+    assert all(got[k] == (10, k) for k in range(n)) and got[n] == (10, 7) and got[n + 1][1] == n + 1
+
+
 def test_rare_shingles_keep_their_order(spark):
     texts = []
     for k in range(80):
@@ -574,7 +663,7 @@ def test_sql(spark, name):
     from seekframe.llm import queries
 
     con = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "pages", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df, found = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE_SQL[name])
     columns = sorted(df.columns)
@@ -601,3 +690,17 @@ def test_pipeline(spark, tmp_path):
     docs_in = spark.read.parquet(f"{d}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs_in, d).columns == docs_in.columns, name
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    """Clashing names, maps, repeated ids on different texts: one row of each group stays."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(5, a, 1, {"k": 2}), (5, a, 1, {"k": 1}), (2, b, 1, None), (5, b + " t", 1, {}), (5, c, 1, None), (9, c, 0, None), (None, a, 3, None), (None, a, 3, None), (7, None, 4, {"z": 0}), (8, " ", 4, None)]
+    docs_in = spark.createDataFrame(rows, "doc_id long, text string, kept_id long, `row` map<string,int>").withColumns({"print": F.lit(1), "grp": F.lit("x"), "component_id": F.lit(0)})
+    out = corpus_pipeline.near_duplicates(spark, docs_in, "")
+    assert out.columns == docs_in.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["kept_id"], str(r["row"])) for r in out.collect())
+    assert got == sorted([(5, a, 1, "{'k': 1}"), (2, b, 1, "None"), (5, c, 1, "None"), (0, a, 3, "None"), (0, a, 3, "None"), (7, "", 4, "{'z': 0}"), (8, " ", 4, "None")])
+    assert corpus_pipeline.near_duplicates(spark, docs_in.limit(0), "").collect() == []
