@@ -26,13 +26,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest id's (of rows that repeat it, the smallest). Documents without words or id all stay."""
-    lone = F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    keep = ngram_join.join(docs).where("n_shingles > 0 and doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    others = docs.where(~lone).join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    first = others.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*").select(docs.columns)
-    return first.unionByName(docs.where(lone))
+    """One document of each group: that of the smallest id. Documents without words or id all stay.
+
+    Rows that repeat an id are documents of their own by their texts; of equal ones the first by the other columns stays
+    (those that have no order, maps, count as their JSON).  Further columns stay, whatever their names.
+    """
+    words = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    lone = F.col("doc_id").isNull() | ~words
+    joined = ngram_join.join(docs, detail=True).where("n_shingles > 0 and doc_id = component_id")
+    keep = joined.groupBy("grp").agg(F.min(F.struct("doc_id", "print")).alias("first")).select("first.*")
+    row = docs.where(~lone).select("doc_id", ngram_join.text_print(F.col("text")).alias("print"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    place = F.struct(*(F.to_json(F.struct(f"row.`{c}`")) if "map<" in kind else F.col(f"row.`{c}`") for c, kind in docs.dtypes))
+    first = row.join(keep, ["doc_id", "print"], "left_semi").groupBy("doc_id", "print").agg(F.min_by("row", place).alias("row"))
+    return first.select("row.*").unionByName(docs.where(lone))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
