@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .blocks import Words, mix, raw, shingle_hashes, slices, written
 
 #: Bits of the frequency sketch and of the candidate bitmap, and bins of a suffix histogram.
-SKETCH_BITS, BITMAP_BITS, BINS = 20, 23, 64
+SKETCH_BITS, BITMAP_BITS, BINS = 20, 23, 256
 _CHUNKS = 64
 _SHIFT = np.uint64(64 - SKETCH_BITS)
 _SETS = "doc_id long, print long, n long, low long, high long, bins binary"
@@ -62,7 +62,7 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def _bins(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> np.uint64(3)).astype(np.int64) & (BINS - 1), minlength=BINS), 65535).astype(np.uint16).tobytes()
+    return np.minimum(np.bincount((s >> np.uint64(3)).astype(np.int64) & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 def _sets(width: int):
@@ -159,7 +159,7 @@ def _prefixes(width: int, percent: int, shared, n_parts: int):
                 rows = order[b:e]
                 used, local = np.unique(doc[rows], return_inverse=True)
                 parts.append(part[rows[0]])
-                blobs.append(np.array([int(hot[rows[0]]), len(used), len(rows)], np.int64).tobytes() + head[used].tobytes() + h[rows].tobytes() + local.astype(np.uint32).tobytes() + place[rows].tobytes())
+                blobs.append(np.array([int(hot[rows[0]]), len(used), len(rows)], np.int64).tobytes() + head[used].tobytes() + h[rows].tobytes() + local.astype(_local(len(used))).tobytes() + place[rows].tobytes())
             if hot.any():
                 rows = np.flatnonzero(hot)
                 rows = rows[np.argsort(h[rows], kind="stable")]
@@ -181,8 +181,13 @@ def _mark(sets: np.ndarray) -> np.ndarray:
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     _, docs, rows = np.frombuffer(blob, np.int64, 3)
     ids = np.frombuffer(blob, np.int64, docs, 24)
-    at = 24 + 8 * docs
-    return np.frombuffer(blob, np.uint64, rows, at), ids[np.frombuffer(blob, np.uint32, rows, at + 8 * rows)], np.frombuffer(blob, np.uint16, rows, at + 12 * rows)
+    at, kind = 24 + 8 * docs, np.dtype(_local(docs))
+    return np.frombuffer(blob, np.uint64, rows, at), ids[np.frombuffer(blob, kind, rows, at + 8 * rows)], np.frombuffer(blob, np.uint16, rows, at + (8 + kind.itemsize) * rows)
+
+
+def _local(sets: int) -> type:
+    """What holds a set's number in its blob."""
+    return np.uint16 if sets <= 1 << 16 else np.uint32
 
 
 _ENTRY = "head boolean, hash long, same long, rank int, set long, place int"
@@ -221,6 +226,14 @@ def _entries(table: pa.Table, classes: np.ndarray) -> pa.Table:
     good = every[at] == keys if len(every) else np.zeros(len(keys), bool)
     total[at[good]] = sums[good]
     np.add.at(total, np.searchsorted(every, moved), moved_sum)
+    # of hashes with the same sets the first of this part; the first of all parts is found later
+    rank = classes[(every >> _SHIFT).astype(np.int64)]
+    order = np.lexsort((every, rank, total))
+    ahead = np.zeros(len(every), bool)
+    ahead[order] = np.diff(total[order].view(np.int64), prepend=~total[order[:1]].view(np.int64)) != 0
+    every, total = every[ahead], total[ahead]
+    at = np.minimum(np.searchsorted(every, keys), max(len(every) - 1, 0))
+    good = every[at] == keys if len(every) else good
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (sets[1:] != sets[:-1])
     first &= np.repeat(good, np.diff(np.append(start, len(h)))) if len(h) else first
@@ -247,13 +260,13 @@ def _passes(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, perc
 
 def _allowed(x: np.ndarray, y: np.ndarray, n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
     """Suffix filter: the overlap that the sets' histograms allow, bin by bin, is enough. A full bin bounds nothing."""
-    full = (x == 65535) | (y == 65535)
+    full = (x == 255) | (y == 255)
     most = np.where(full, np.minimum(n1, n2)[:, None], np.minimum(x, y)).sum(axis=1, dtype=np.int64)
     return most >= -(-percent * (n1 + n2) // (100 + percent))
 
 
 def _bins_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
 def _pair_table(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -262,18 +275,14 @@ def _pair_table(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _kept(percent: int):
-    """Of given pairs (x, y) with sizes, places and histograms those that pass all filters."""
+    """Of given pairs (x, y) with sizes and histograms those that pass the suffix filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1 << 15):
                 batch = whole.slice(at, 1 << 15)
-                x, y, nx, ny, px, py = (batch[c].to_numpy().astype(np.int64) for c in ("x", "y", "nx", "ny", "px", "py"))
-                less = nx <= ny
-                n1, n2, p1, p2 = np.where(less, nx, ny), np.where(less, ny, nx), np.where(less, px, py), np.where(less, py, px)
-                ok = np.flatnonzero(_passes(n1, p1, n2, p2, percent))
-                rows = batch.take(pa.array(ok))
-                ok = ok[_allowed(_bins_of(rows["bx"]), _bins_of(rows["by"]), n1[ok], n2[ok], percent)]
+                x, y, nx, ny = (batch[c].to_numpy().astype(np.int64) for c in ("x", "y", "nx", "ny"))
+                ok = _allowed(_bins_of(batch["bx"]), _bins_of(batch["by"]), nx, ny, percent)
                 yield _pair_table(x[ok], y[ok])
 
     return run
@@ -310,17 +319,19 @@ def _pairs(percent: int):
                     yield node[k[ok]], node[m[ok]]
                 step += 1
 
+        kept, size = [], 0
+
         def collected(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            a, b, size = [], [], 0
+            nonlocal kept, size
             for k, m in found(x):
-                a.append(k)
-                b.append(m)
+                kept.append(np.stack([np.minimum(k, m), np.maximum(k, m)], axis=1))
                 size += len(k)
-                if size > 1 << 19:
-                    yield _pair_table(np.concatenate(a), np.concatenate(b))
-                    a, b, size = [], [], 0
-            if size:
-                yield _pair_table(np.concatenate(a), np.concatenate(b))
+                if size > 1 << 20:  # the same pair comes under many hashes
+                    u = np.unique(np.concatenate(kept), axis=0)
+                    kept, size = [u], len(u)
+                    if size > 1 << 19:
+                        yield _pair_table(u[:, 0], u[:, 1])
+                        kept, size = [], 0
 
         held: list[dict[str, np.ndarray]] = []  # rows of the group that goes on
         for batch in batches:
@@ -339,6 +350,9 @@ def _pairs(percent: int):
             held.append({c: v[last:] for c, v in x.items()})
         if held:
             yield from collected({c: np.concatenate([p[c] for p in held]) for c in held[0]})
+        if size:
+            u = np.concatenate(kept)
+            yield _pair_table(u[:, 0], u[:, 1])
 
     return run
 
@@ -435,7 +449,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, nodes: DataFrame, classes, width: int, percent: int) -> DataFrame:
-    """hash, node, n, place and bins of the prefix entries whose hash is the first of its family of nodes."""
+    """hash, node, its smallest id, size and place of the prefix entries whose hash is the first of its family of nodes."""
     spark = docs.sparkSession
     total = nodes.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100D) + 1"))).first()[0] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART))
@@ -443,28 +457,45 @@ def _candidates(docs: DataFrame, nodes: DataFrame, classes, width: int, percent:
     both = written(blobs.groupBy("part").applyInArrow(lambda t: _entries(t, classes.value), _ENTRY), "join-entries", "head")
     firsts = both.where("head").groupBy("same").agg(F.min(F.struct("rank", "hash")).alias("f")).select("f.hash")
     entries = both.where("not head").select("hash", "set", "place").join(firsts, "hash", "left_semi")
-    known = nodes.select(F.col("low").alias("set"), "node", "stands", F.col("n").cast("int").alias("n"), "bins")
-    return written(entries.join(known, "set").select("hash", "node", "stands", "n", "place", "bins"), "join-buckets")
+    known = nodes.select(F.col("low").alias("set"), "node", "stands", F.col("n").cast("int").alias("n"))
+    return written(entries.join(known, "set").select("hash", "node", "stands", "n", "place"), "join-buckets")
 
 
-def _with_first(buckets: DataFrame, percent: int) -> DataFrame:
+def _with_first(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of the node with a hash's smallest id and each other one there."""
-    lead = buckets.groupBy("hash").agg(F.min(F.struct("stands", "node", "n", "place", "bins")).alias("lead"))
-    met = buckets.join(lead, "hash").where("node <> lead.node").where(f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
-    given = met.select(F.col("lead.node").alias("x"), F.col("node").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"), F.col("lead.place").alias("px"), F.col("place").alias("py"), F.col("lead.bins").alias("bx"), F.col("bins").alias("by"))
+    lead = buckets.groupBy("hash").agg(F.min(F.struct("stands", "node", "n", "place")).alias("lead"))
+    met = buckets.join(lead, "hash").where("node <> lead.node")
+    less = F.expr("n < lead.n or n = lead.n and node < lead.node")
+    pair = [F.when(less, F.col(a)).otherwise(F.col(b)).alias(c) for c, a, b in (("x", "node", "lead.node"), ("y", "lead.node", "node"), ("nx", "n", "lead.n"), ("ny", "lead.n", "n"), ("px", "place", "lead.place"), ("py", "lead.place", "place"))]
+    near = met.select(*pair).where(_passing("nx", "px", "ny", "py", percent)).select("x", "y", "nx", "ny").distinct()
+    bins = nodes.select("node", "bins")
+    given = near.join(bins.toDF("x", "bx"), "x").join(bins.toDF("y", "by"), "y")
     return given.mapInArrow(_kept(percent), "a long, b long")
 
 
-def _between_groups(buckets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _passing(n1: str, p1: str, n2: str, p2: str, percent: int) -> Column:
+    """The filters of _passes as a column."""
+    both = 100 + percent
+    need = f"(({percent} * ({n1} + {n2}) + {both - 1}) div {both})"
+    return F.expr(f"100 * {n1} >= {percent} * {n2} and least({p1}, {p2}) + least({n1} - {p1}, {n2} - {p2}) >= {need}") & _short(n1, p1, percent)
+
+
+def _short(n: str, place: str, percent: int) -> Column:
+    """Whether a place is in the shorter prefix, where the smaller set of a pair has a common hash."""
+    return F.expr(f"{place} <= {n} - (2 * {percent} * {n} + {99 + percent}) div {100 + percent}")
+
+
+def _between_groups(buckets: DataFrame, groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs of a hash's nodes that are in different groups."""
     grouped = buckets.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
-    short = F.expr(f"place <= n - (2 * {percent} * n + {99 + percent}) div {100 + percent}")
-    mixed = grouped.groupBy("hash").agg(F.min("grp").alias("g"), F.max("grp").alias("h"), F.bool_or(short).alias("short"), F.count("*").alias("size")).where("g < h and short").select("hash", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = grouped.join(mixed, "hash").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    size = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK)))
+    mixed = grouped.groupBy("hash").agg(F.min("grp").alias("g"), F.max("grp").alias("h"), F.bool_or(_short("n", "place", percent)).alias("short"), F.min("stands").alias("lead"), F.pow(F.lit(2), size).cast("int").alias("blocks"))
+    rows = grouped.join(mixed.where("g < h and short").select("hash", "lead", "blocks"), "hash").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     # a row of block i meets block j in the group of both
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = rows.join(nodes.select("node", "bins"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("blocks", F.expr("cast(least(own, other) as long) * blocks + greatest(own, other)"))
-    ordered = met.select("hash", "blocks", "own", "node", "n", "place", "grp", "bins").repartition("hash", "blocks").sortWithinPartitions("hash", "blocks", "n", "node")
+    # hashes of one family of nodes have the same smallest id: a pair that comes under many of them is one pair in its task
+    ordered = met.select("hash", "blocks", "own", "node", "n", "place", "grp", "bins", "lead").repartition("lead", "blocks").sortWithinPartitions("hash", "blocks", "n", "node")
     return ordered.mapInArrow(_pairs(percent), "a long, b long")
 
 
@@ -475,9 +506,9 @@ def _linked(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, width: int
     share = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("chunks"))
     dealt = pairs.join(share, "a").select("a", F.expr("cast(pmod(xxhash64(b), chunks) as int)").alias("chunk"), "b")
     rows = dealt.select("a", "chunk", F.lit(1).alias("own"), "b").unionByName(dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("own"), F.col("a").alias("b")))
-    needed = nodes.select("node", F.col("stands").alias("doc_id"), F.col("low").alias("set")).join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-    texts = needed.join(_texts(docs, needed.select("doc_id"), width), ["doc_id", "set"]).select(F.col("node").alias("b"), "packed")
-    full = rows.join(texts, "b").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "own", "b")
+    needed = nodes.select(F.col("node").alias("b"), F.col("stands").alias("doc_id"), F.col("low").alias("set")).join(pairs.select(F.explode(F.array("a", "b")).alias("b")).distinct(), "b")
+    # texts move once to meet their rows, and rows take them to their chunk
+    full = rows.join(needed, "b").join(_texts(docs, needed.select("doc_id"), width), ["doc_id", "set"]).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "own", "b")
     return written(full.select("a", "chunk", "own", "b", "packed").mapInArrow(_verified(width, percent), "a long, b long"), "join-links")
 
 
@@ -502,9 +533,9 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80, detail: bool =
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
 
     buckets = _candidates(docs, nodes, classes, width, percent)
-    links = _linked(docs, nodes, _with_first(buckets, percent), width, percent)
+    links = _linked(docs, nodes, _with_first(buckets, nodes, percent), width, percent)
     groups = written(components(links), "join-groups")
-    more = _linked(docs, nodes, _between_groups(buckets, groups, percent), width, percent)
+    more = _linked(docs, nodes, _between_groups(buckets, groups, nodes, percent), width, percent)
     groups = written(components(links.unionByName(more)), "join-groups")
 
     least = groups.join(nodes.select("node", "stands"), "node").groupBy("component").agg(F.min("stands").alias("least"))
