@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ class Query:
     blank: bool = False
     text: str = ""
     letters: list[str] = field(default_factory=list)
+    parts: list[str] = field(default_factory=list)
 
 
 def normalise(query: str) -> Query:
@@ -29,7 +31,7 @@ def normalise(query: str) -> Query:
     t = query.strip().lower()
     tokens = [x for x in _SEP.split(t) if x]
     sep, comp = _SEP.sub("-", t).strip("-"), _SEP.sub("", t)
-    return Query(F.lit(t), F.lit(sep), F.lit(comp), F.array(*map(F.lit, tokens)).cast("array<string>"), not t, t, list(comp))
+    return Query(F.lit(t), F.lit(sep), F.lit(comp), F.array(*map(F.lit, tokens)).cast("array<string>"), not t, t, list(comp), tokens)
 
 
 def normalise_column(c: Column) -> Query:
@@ -56,8 +58,22 @@ def fuzzy(candidate: Column, query: Column) -> Column:
     return F.aggregate(chars, start, step, lambda a: F.when((a["pos"] == 0) | (F.length(query) == 0), 0).otherwise(F.greatest(F.lit(35), a["score"] - spare)))
 
 
-def _like(letters: list[str]) -> str:
-    return "%" + "%".join("\\" + c if c in "%_\\" else c for c in letters) + "%"
+def _in_order(c: Column, letters: list[str]) -> Column:
+    """Whether a text has these characters in this order; the pattern never goes back, so it is linear."""
+    each = [f"\\x{{{ord(x):x}}}" for x in letters]
+    return c.rlike("^" + "".join(f"[^{x}]*+{x}" for x in each))
+
+
+def matches(lower: Column, q: Query) -> Column | None:
+    """Whether any tier gives a text a score, from its lower-case form alone; None if only the score tells.
+
+    Every tier but that of the tokens has the query's letters in order, and separators, which the compact form leaves out,
+    are none of them.
+    """
+    if not q.letters:
+        return None
+    every = [lower.contains(t) for t in q.parts]
+    return _in_order(lower, q.letters) | reduce(lambda a, b: a & b, every) if len(every) > 1 else _in_order(lower, q.letters)
 
 
 def score(c: dict[str, Column], q: Query) -> Column:
@@ -78,5 +94,5 @@ def score(c: dict[str, Column], q: Query) -> Column:
     )
     # one query: a pattern of its letters in order is a cheap test for the fold to run at all
     if q.letters:
-        out = out.when(~comp.like(_like(q.letters)), 0)
+        out = out.when(~_in_order(comp, q.letters), 0)
     return out.otherwise(fuzzy(comp, q.compact)).cast("int")

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 # White space beyond ASCII's, as the engine's patterns spell it.
 WS = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 SEP = f"(?:{WS}|[._/-])+"
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 PREVIEW, PREVIEW_HEAD, SIGNATURE, SHARDS = 96, 93, 240, 64
 
 
 def trim(c: Column) -> Column:
     """White space off both ends, Unicode's too."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def basename(c: Column) -> Column:
@@ -60,7 +61,7 @@ def preview(c: Column) -> Column:
 
 def indent(c: Column) -> Column:
     """Characters before the first that isn't white space; all of a blank line."""
-    return F.length(c) - F.length(F.regexp_replace(c, f"^{WS}+", ""))
+    return F.length(c) - F.length(F.ltrim(c, F.lit(BLANKS)))
 
 
 def string_hash(c: Column) -> Column:

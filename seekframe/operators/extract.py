@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,12 +64,11 @@ def python_symbols(files: DataFrame) -> DataFrame:
     return folded.select(*KEYS, F.inline("out"))
 
 
-def text_lines(files: DataFrame, limit: int | Column = MOST_LINES) -> DataFrame:
-    """Trimmed lines of 1 to 500 characters among each file's first ``limit`` physical ones, with their shard."""
+def text_lines(files: DataFrame, limit: int | Column = MOST_LINES, carry: Sequence[str] = ()) -> DataFrame:
+    """Trimmed lines of 1 to 500 characters among each file's first ``limit`` physical ones, with their shard and the columns to carry."""
     most = F.greatest(F.lit(limit) if isinstance(limit, int) else limit, F.lit(0))
-    each = files.select(*KEYS, F.posexplode(F.slice(physical_lines(F.col("content")), F.lit(1), most)).alias("line", "raw"))
-    kept = each.select(*KEYS, "line", trim(F.col("raw")).alias("text")).where(F.length("text").between(1, LONGEST))
-    return kept.withColumn("shard", shard(F.col("relative_path")))
+    each = files.select(*KEYS, *carry, shard(F.col("relative_path")).alias("shard"), F.posexplode(F.slice(physical_lines(F.col("content")), F.lit(1), most)).alias("line", "raw"))
+    return each.select(*KEYS, *carry, "line", trim(F.col("raw")).alias("text"), "shard").where(F.length("text").between(1, LONGEST))
 
 
 def budgeted_text_lines(files: DataFrame, total: int = MOST_TOTAL, limit: int = MOST_LINES, batch: int = BATCH) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.languages import KIND_ORDER, scope, weight
-from ..functions.score import Query, normalise, normalise_column, score
+from ..functions.score import Query, matches, normalise, normalise_column, score
 from ..functions.text import basename, preview
 
 RESULT = ["kind", "label", "description", "detail", "score", "workspace_folder", "relative_path", "line", "character", "preview"]
@@ -42,12 +42,15 @@ def symbol_candidates(symbols: DataFrame) -> DataFrame:
 
 
 def text_candidates(lines: DataFrame) -> DataFrame:
-    """text lines (text, keys, line, ord) with the forms of the text."""
-    return lines.select("workspace_folder", "relative_path", "ord", "line", "text").withColumns(_forms("n_", F.col("text")))
+    """text lines (text, keys, line, ord); the few that a query lets through get their forms then."""
+    return lines.select("workspace_folder", "relative_path", "ord", "line", "text")
 
 
 def _symbol_rows(c: DataFrame, q: Query, kinds: list[str]) -> DataFrame:
-    hit = c.where(F.col("kind").isin([k for k in kinds if k not in ("file", "text")])).withColumn("s", score(_of("n_"), q)).where("s > 0")
+    near = c.where(F.col("kind").isin([k for k in kinds if k not in ("file", "text")]))
+    if (test := matches(F.col("n_normalized"), q)) is not None:
+        near = near.where(test)
+    hit = near.withColumn("s", score(_of("n_"), q)).where("s > 0")
     return hit.select(
         "kind", "label", F.col("relative_path").alias("description"), F.col("signature").alias("detail"), (weight(F.col("kind")) + F.col("s")).alias("score"),
         "workspace_folder", "relative_path", "line", "character", F.col("signature").alias("preview"), F.lit(1).alias("fam"), "ord", *_extra(c),
@@ -66,17 +69,16 @@ def _file_rows(c: DataFrame, q: Query, least: int) -> DataFrame:
 
 
 def _text_rows(c: DataFrame, q: Query, most: int) -> DataFrame:
-    """The first ``most`` matches in corpus order, whatever their scores."""
-    hit = c.withColumn("s", score(_of("n_"), q)).where("s > 0")
-    extra = _extra(c)
-    if extra:
-        hit = hit.withColumn("_n", F.row_number().over(Window.partitionBy(*extra).orderBy("ord"))).where(F.col("_n") <= most)
-    else:
-        hit = hit.orderBy("ord").limit(max(most, 0))
+    """The first ``most`` matches in corpus order, whatever their scores: what matches is known before any form, and only those rows are scored."""
+    forms = _forms("n_", F.col("text"))
+    test = matches(F.lower("text"), q)
+    near = c.where(test) if test is not None else c.withColumns(forms).where(score(_of("n_"), q) > 0).select(c.columns)
+    # one partition, and a node that keeps the forms from moving below the limit
+    hit = near.orderBy("ord").limit(max(most, 0)).coalesce(1).withColumns(forms).withColumn("s", score(_of("n_"), q))
     place = F.col("relative_path")
     return hit.select(
         F.lit("text").alias("kind"), preview(F.col("text")).alias("label"), F.concat(place, F.lit(":"), F.col("line") + 1).alias("description"), place.alias("detail"), (TEXT_WEIGHT + F.least("s", F.lit(120))).alias("score"),
-        "workspace_folder", "relative_path", "line", F.greatest(F.call_function("locate", q.compact, F.col("n_normalized")) - 1, F.lit(0)).alias("character"), F.col("text").alias("preview"), F.lit(2).alias("fam"), "ord", *extra,
+        "workspace_folder", "relative_path", "line", F.greatest(F.call_function("locate", q.compact, F.col("n_normalized")) - 1, F.lit(0)).alias("character"), F.col("text").alias("preview"), F.lit(2).alias("fam"), "ord",
     )
 
 
@@ -135,17 +137,24 @@ def search_many(queries: DataFrame, symbols: DataFrame, limit: int = MOST_RESULT
     q = normalise_column(F.col("query"))
     forms = queries.where(q.lower != "").select("query_id", q.lower.alias("q_lower"), q.separated.alias("q_separated"), q.compact.alias("q_compact"), q.tokens.alias("q_tokens"))
     columns = Query(*(F.col(f"q_{c}") for c in ("lower", "separated", "compact", "tokens")))
-    met = symbols.join(forms, score(_of("n_"), columns) > 0)
+    # letters as bits: a candidate without one of the query's has no score, which is a test of two numbers
+    forms = forms.withColumn("q_bits", _bits(F.col("q_compact")))
+    met = symbols.withColumn("n_bits", _bits(F.col("n_compact"))).join(forms, (F.col("q_bits").bitwiseAND(F.col("n_bits")) == F.col("q_bits")) & (score(_of("n_"), columns) > 0))
     rows = _best(_symbol_rows(met, columns, KIND_ORDER))
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order()))).where(F.col("_n") <= limit).select("query_id", *RESULT)
 
 
+def _bits(c: Column) -> Column:
+    each = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(x) % 64))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+
 def text_search(query: str, lines: DataFrame, limit: int = MOST_TEXT) -> DataFrame:
     """Substring hits in lines (shard, ord, line, text): the first ``limit`` in shard order, then the earliest in the line first."""
     q = query.strip().lower()
     at = F.call_function("locate", F.lit(q), F.lower("text")) - 1
     hit = lines.withColumn("at", at).where(F.col("at") >= 0) if q else _empty(lines.withColumn("at", at))
-    some = hit.orderBy("shard", "ord", "line").limit(max(limit, 0))
+    some = hit.orderBy("shard", "ord", "line").limit(max(limit, 0)).coalesce(1)
     return _text_hits(some).orderBy(F.desc("score"), F.collate(F.col("description"), "UNICODE"))
 
 

@@ -180,9 +180,8 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = views.files(spark, sf_dir)
-    lines = extract.text_lines(f).join(f.select(*extract.KEYS, F.col("ord").alias("file_ord")), extract.KEYS)
-    return lines.withColumn("ord", F.col("file_ord") * 1_000_000 + F.col("line")).drop("file_ord")
+    lines = extract.text_lines(views.files(spark, sf_dir), carry=["ord"])
+    return lines.withColumn("ord", F.col("ord") * 1_000_000 + F.col("line"))
 
 
 _FF = f"ff AS (SELECT *, regexp_extract(relative_path, '[^/]*$') AS label FROM ({views.FILES}))"
