@@ -67,7 +67,7 @@ RULES: dict[str, list[tuple[str, str]]] = {
         ("class", rf"^{_maybe('pub')}struct\s+({_ID})"),
         ("interface", rf"^{_maybe('pub')}trait\s+({_ID})"),
         ("type", rf"^{_maybe('pub')}(?:enum|type)\s+({_ID})"),
-        ("function", rf"^{_maybe('pub')}{_ASYNC}fn\s+({_ID})(?:<[^>]*>)?\s*\("),
+        ("function", rf"^{_maybe('pub')}{_ASYNC}fn\s+({_ID})\s*(?:<[^>]+>)?\s*\("),
     ],
     "csharp": [
         ("class", rf"^{_words('public', 'private', 'protected', 'internal', 'abstract', 'sealed', 'static', 'partial')}class\s+({_ID})"),
@@ -76,9 +76,9 @@ RULES: dict[str, list[tuple[str, str]]] = {
         ("function", rf"^{_words('public', 'private', 'protected', 'internal', 'static', 'virtual', 'override', 'async', 'sealed', 'partial')}{_JVM_TYPE}({_ID}){_ARGS}(?:\{{|=>)"),
     ],
     "cpp": [
-        ("class", rf"^(?:template\s*<.*>\s*)?(?:class|struct)\s+({_ID})"),
+        ("class", rf"^(?:template\s*<[^>]+>\s*)?(?:class|struct)\s+({_ID})"),
         ("type", rf"^(?:typedef\s+.*\s+|using\s+)({_ID})\s*[=;]"),
-        ("function", r"^(?:template\s*<.*>\s*)?(?:[\w:*&<>\[\],~]+\s+)+([A-Za-z_~][\w:~]*)\s*\([^;]*\)\s*(?:const\s*)?(?:\{|$)"),
+        ("function", r"^(?:template\s*<[^>]+>\s*)?(?:[\w:*&<>\[\],~]+\s+)+([A-Za-z_~][\w:~]*)\s*\([^;]*\)\s*(?:const\s*)?(?:\{|$)"),
     ],
     "php": [
         ("class", rf"^(?:(?:abstract|final)\s+)?class\s+({_ID})"),

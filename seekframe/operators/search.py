@@ -7,6 +7,8 @@ that every candidate meets (the score is the join condition, so that is what a b
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,6 +167,25 @@ def _text_hits(rows: DataFrame) -> DataFrame:
     )
 
 
+def search_with_text(query: str, lines: DataFrame, symbols: DataFrame | None = None, files: DataFrame | None = None, where: str = "all", most_text: int = MOST_TEXT, limit: int = MOST_RESULTS) -> DataFrame:
+    """Results of one query, text hits from the shards: the best symbols and files and the first hits, ranked together.
+
+    Only the widest scope has both; the text scope has hits alone, at most ``limit``, the others none.
+    """
+    q, kinds = normalise(query), scope(where)
+    if kinds == ["text"]:
+        return text_search(query, lines, min(most_text, limit))
+    parts = [_file_rows(files, q, 0)] if files is not None and "file" in kinds else []
+    parts += [_symbol_rows(symbols, q, kinds)] if symbols is not None else []
+    if not parts:
+        raise ValueError(f"no candidates for {where}")
+    best = ranked(reduce(DataFrame.unionByName, parts), limit)
+    if "text" in kinds and most_text > 0:
+        best = best.select(*RESULT, "fam", "ord").unionByName(text_search(query, lines, most_text).withColumns({"fam": F.lit(2), "ord": F.lit(0).cast("long")}))
+    best = best.orderBy(*_order(), F.collate(F.col("description"), "UNICODE")).limit(limit)
+    return (_empty(best) if q.blank else best).select(*RESULT)
+
+
 def refine(results: DataFrame, query: str) -> DataFrame:
     """Earlier results whose label holds a longer query, with the scores that they had."""
     return results.where(F.contains(F.lower("label"), F.lit(query.strip().lower())))
@@ -186,8 +207,9 @@ def grouped(results: DataFrame, caps: dict) -> DataFrame:
 
 
 def printed(results: DataFrame) -> DataFrame:
-    """A line of text for each result: kind padded to nine, label, place from line 1."""
-    return results.select(F.concat(F.rpad("kind", 9, " "), F.lit(" "), F.col("label"), F.lit("  "), F.col("relative_path"), F.lit(":"), F.col("line") + 1).alias("row"))
+    """A line of text for each result: kind padded to nine, label, place from line 1. Without results one line says so."""
+    rows = results.select(F.concat(F.rpad("kind", 9, " "), F.lit(" "), F.col("label"), F.lit("  "), F.col("relative_path"), F.lit(":"), F.col("line") + 1).alias("row"))
+    return rows.unionByName(rows.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("No results.").alias("row")))
 
 
 def as_json(results: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def replace_rows(rows: DataFrame, replaced: DataFrame, fresh: DataFrame) -> Data
 
 
 def upsert(files: DataFrame, changed: DataFrame, keep) -> DataFrame:
-    """Files with changed ones re-indexed; those that ``keep`` (a column of the path) refuses are deleted."""
+    """Files with changed ones re-indexed; those that ``keep`` (a column of the path) refuses are deleted, which is nothing where they are unknown."""
     return replace_rows(files, changed, changed.where(keep).select(files.columns))
 
 
@@ -63,10 +63,12 @@ def language_counts(files: DataFrame, order: str = "ord") -> DataFrame:
     return files.groupBy("language").agg(F.count("*").alias("files"), F.min(order).alias("first")).orderBy(F.desc("files"), "first")
 
 
-def summary(files: DataFrame, symbols: DataFrame, created_at: str) -> DataFrame:
-    """One row: counts, languages as a map, folders, creation time."""
+def summary(files: DataFrame, symbols: DataFrame, created_at: str, text_lines: DataFrame | None = None) -> DataFrame:
+    """One row: counts (of text lines only if they are given), languages as a map, folders, creation time."""
     langs = files.groupBy("language").count().agg(F.map_from_entries(F.collect_list(F.struct("language", "count"))).alias("language_counts"))
     folders = files.agg(F.count("*").alias("file_count"), F.sort_array(F.collect_set("workspace_folder")).alias("workspace_folders"))
+    if text_lines is not None:
+        folders = folders.join(text_lines.agg(F.count("*").alias("text_line_count")))
     return folders.join(symbols.agg(F.count("*").alias("symbol_count"))).join(langs).withColumn("created_at", F.lit(created_at)).withColumn("version", F.lit(1))
 
 

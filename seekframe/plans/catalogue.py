@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages, text
 from ..functions.languages import SCOPES, WEIGHTS
-from ..operators import extract, grammar, ignore, search, sync
+from ..operators import extract, ignore, search, sync
 from ..sources import store
 from ..streaming import watch
 from . import views
@@ -206,11 +206,15 @@ def _shard_sql(q: str, most: int) -> str:
 
 
 _add("text_shard_search", lambda s, d: search.text_search("ation th", _text(s, d)), f"WITH {_TL}, {_shard_sql('ation th', 80)} SELECT * FROM hits")
+_add(
+    "search_symbols_and_shards",
+    lambda s, d: search.search_with_text("bolt", _text(s, d), _symbols(s, d), limit=400),
+    f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_TL}, {_symbol_rows('bolt', SCOPES['symbols'])}, {_shard_sql('bolt', 80)}, best AS ({_ranked('sr', 400)}) SELECT {_RESULT} FROM best UNION ALL SELECT {_RESULT} FROM hits",
+)
+_add("text_scope", lambda s, d: search.search_with_text("the an", _text(s, d), _symbols(s, d), where="text", limit=30), f"WITH {_TL}, {_shard_sql('the an', 30)} SELECT * FROM hits")
 _add("text_refine", lambda s, d: search.refine_text(search.text_search("the an", _text(s, d)), "the and"), f"WITH {_TL}, {_shard_sql('the an', 80)}, again AS (SELECT * REPLACE (position('the and' IN lower(preview)) - 1 AS \"character\") FROM hits WHERE contains(lower(preview), 'the and')) SELECT * REPLACE (CAST(120 + greatest(0, 120 - \"character\") AS INTEGER) AS score, CAST(\"character\" AS INTEGER) AS \"character\") FROM again")
 _add("refine", lambda s, d: search.refine(_symbol_search("bol")(s, d), "bolt"), f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows('bol', SCOPES['symbols'])}, best AS ({_ranked('sr', 150)}) SELECT {_RESULT} FROM best WHERE contains(lower(label), 'bolt')")
 
-_MANY = ["blue bolt", "red", "gear_small", "BoltBlue", "steel pin"]
-
 
 def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = views.table(spark, sf_dir, "part").select("p_name").distinct()
@@ -244,10 +248,14 @@ for _name, _caps in (("group_panel", search.PANEL_CAPS), ("group_pick", search.P
     _add(
         _name,
         lambda s, d, caps=_caps: search.grouped(search.search("e", symbols=_symbols(s, d), where="symbols", limit=None), caps).select("kind", "label", "score", "relative_path", "line", "rank", "group_ord"),
-        f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows('e', SCOPES['symbols'])}, best AS ({_ranked('sr', 100_000)}) SELECT kind, label, CAST(score AS INTEGER) AS score, relative_path, line, CAST(rank AS INTEGER) AS rank, {_ORD} AS group_ord FROM ({_GROUP}) WHERE rank <= {_caps[None]}",
+        f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows('e', SCOPES['symbols'])}, best AS ({_ranked('sr', None)}) SELECT kind, label, CAST(score AS INTEGER) AS score, relative_path, line, CAST(rank AS INTEGER) AS rank, {_ORD} AS group_ord FROM ({_GROUP}) WHERE rank <= {_caps[None]}",
     )
 _add("printed_results", lambda s, d: search.printed(_symbol_search("bolt")(s, d)), f"WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows('bolt', SCOPES['symbols'])}, best AS ({_ranked('sr', 150)}) SELECT rpad(kind, 9, ' ') || ' ' || label || '  ' || relative_path || ':' || (line + 1) AS row FROM best")
 
+_add("printed_nothing", lambda s, d: search.printed(_symbol_search("zq9")(s, d)), "SELECT 'No results.' AS row")
+_add("results_as_json", lambda s, d: search.as_json(_symbol_search("bolt")(s, d)), f"""WITH RECURSIVE v AS ({views.SYMBOLS}), {_symbol_rows('bolt', SCOPES['symbols'])}, best AS ({_ranked('sr', 150)})
+  SELECT '{{"kind":"' || kind || '","label":"' || label || '","description":"' || description || '","score":' || score || ',"location":{{"workspaceFolder":"' || workspace_folder || '","relativePath":"' || relative_path || '","line":' || line || ',"character":' || "character" || '}},"preview":"' || preview || '"}}' AS row FROM best""")
+
 # ---- paths and languages
 
 _EXT = "CASE WHEN regexp_matches(relative_path, '^(.*/)?\\.\\.$') THEN '' ELSE substr(lower(regexp_extract(regexp_extract(relative_path, '[^/]*$'), '^.+(\\.[^.]*)$', 1)), 2) END"
@@ -317,33 +325,22 @@ _add(
     SELECT walk.b + 1, walk.remaining - per.n FROM walk JOIN per ON per.b = walk.b AND per.k = least({_PER}, greatest(walk.remaining, 0)))
   SELECT {_LINE} FROM tl JOIN f USING (ord) JOIN walk ON walk.b = f.b WHERE line < least({_PER}, greatest(remaining, 0))""",
 )
-_add("preview_trim", lambda s, d: views.table(s, d, "documents").select("doc_id", text.preview(F.col("text")).alias("preview")), "SELECT doc_id, CASE WHEN length(t) > 96 THEN substr(t, 1, 93) || '...' ELSE t END AS preview FROM (SELECT doc_id, regexp_replace(substr(text, 1, 120), '^\\s+|\\s+$', '', 'g') AS t FROM documents)")
+_add("preview_trim", lambda s, d: views.table(s, d, "documents").select("doc_id", text.preview(F.col("text")).alias("preview")), "SELECT doc_id, CASE WHEN length(t) > 96 THEN substr(t, 1, 93) || '...' ELSE t END AS preview FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)")
 _add("signature_240", lambda s, d: extract.lines(views.files(s, d)).select("relative_path", "line", F.substring(text.trim(F.col("raw")), 1, text.SIGNATURE).alias("signature"), text.indent(F.col("raw")).alias("character")), f"SELECT relative_path, CAST(line AS INTEGER) AS line, substr(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), 1, 240) AS signature, CAST(length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS INTEGER) AS \"character\" FROM (SELECT relative_path, {_SPLIT.format('content')} FROM ({views.FILES}))")
 _SYMBOL = ["relative_path", "line", "character", "kind", "name", "container_name", "signature"]
 
 
-def _rule_sql(language: str) -> str:
-    def first(rules: list[tuple[str, str]], what: str) -> str:
-        return " ".join(f"WHEN {'' if rules is grammar.ANNOTATIONS else 'NOT c AND '}regexp_matches(t, {_lit(p)}) THEN " + (_lit(k) if what == "kind" else f"regexp_extract(t, {_lit(p)}, 1)") for k, p in rules)
-
-    rules = grammar.rules_of(language)
-    case = lambda what: "CASE " + (first(grammar.ANNOTATIONS, what) + " " if language == "lua" else "") + first(rules, what) + " END"
-    return f"""WITH l AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS t FROM ({views.code_sql(language)})), m AS (SELECT *, regexp_matches(t, {_lit(grammar.COMMENT)}) AS c FROM l)
-  SELECT relative_path, line, CAST(length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS INTEGER) AS "character", kind, name, CAST(NULL AS VARCHAR) AS container_name, substr(t, 1, 240) AS signature
-  FROM (SELECT *, {case("kind")} AS kind, {case("name")} AS name FROM m) WHERE kind IS NOT NULL"""
-
-
 for _lang in views.TEMPLATES:
     if _lang != "python":
-        _add(f"sym_extract_{_lang}", lambda s, d, x=_lang: extract.symbols(views.code(s, d, x)).select(*_SYMBOL), _rule_sql(_lang))
-_add("sym_extract_lite", lambda s, d: extract.symbols(views.code(s, d, "java"), "lite").select(*_SYMBOL), _rule_sql("javascript").replace(views.code_sql("javascript"), views.code_sql("java")))
+        _add(f"sym_extract_{_lang}", lambda s, d, x=_lang: extract.symbols(views.code(s, d, x)).select(*_SYMBOL), views.declared_sql(_lang))
+_add("sym_extract_lite", lambda s, d: extract.symbols(views.code(s, d, "java"), "lite").select(*_SYMBOL), views.declared_sql("java", "lite"))
 _add(
     "sym_extract_python",
     lambda s, d: extract.symbols(views.code(s, d, "python")).select(*_SYMBOL),
     f"""WITH l AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS t, CAST(length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS INTEGER) AS ind FROM ({views.code_sql("python")})),
-  a AS (SELECT * FROM l WHERE t <> '' AND NOT regexp_matches(t, {_lit(grammar.COMMENT)})),
-  c AS (SELECT relative_path, line, ind, regexp_extract(t, {_lit(grammar.PYTHON_CLASS)}, 1) AS name, t FROM a WHERE regexp_matches(t, {_lit(grammar.PYTHON_CLASS)})),
-  f AS (SELECT relative_path, line, ind, regexp_extract(t, {_lit(grammar.PYTHON_DEF)}, 1) AS name, t FROM a WHERE regexp_matches(t, {_lit(grammar.PYTHON_DEF)})),
+  a AS (SELECT * FROM l WHERE t <> '' AND NOT regexp_matches(t, '^(//|#|\\*|/\\*|--|<!--)')),
+  c AS (SELECT relative_path, line, ind, regexp_extract(t, '^class\\s+([A-Za-z_][A-Za-z_0-9]*)\\s*[(:]', 1) AS name, t FROM a WHERE regexp_matches(t, '^class\\s+([A-Za-z_][A-Za-z_0-9]*)\\s*[(:]')),
+  f AS (SELECT relative_path, line, ind, regexp_extract(t, '^(async\\s+)?def\\s+([A-Za-z_][A-Za-z_0-9]*)\\s*\\(', 2) AS name, t FROM a WHERE regexp_matches(t, '^(async\\s+)?def\\s+([A-Za-z_][A-Za-z_0-9]*)\\s*\\(')),
   o AS (SELECT f.relative_path, f.line, max(c.line) AS holder FROM f JOIN c ON c.relative_path = f.relative_path AND c.line < f.line AND c.ind < f.ind
     AND NOT EXISTS (SELECT 1 FROM a WHERE a.relative_path = f.relative_path AND a.line > c.line AND a.line <= f.line AND a.ind <= c.ind) GROUP BY ALL)
   SELECT relative_path, line, ind AS "character", 'class' AS kind, name, CAST(NULL AS VARCHAR) AS container_name, substr(t, 1, 240) AS signature FROM c
@@ -375,12 +372,12 @@ _add("upsert_files", _upsert, f"""WITH {views.SCANS}, ch AS (SELECT * FROM new W
 
 
 def _shard_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = extract.text_lines(views.files(spark, sf_dir), 3).select(*extract.KEYS, "line", "text", "shard")
+    lines = extract.text_lines(views.files(spark, sf_dir)).select(*extract.KEYS, "line", "text", "shard")
     gone = lines.where("line = 0").where(text.string_hash(F.col("relative_path")) % 5 == 0)
     return sync.replace_rows(lines, gone, gone.withColumn("text", F.concat(F.lit("> "), "text")))
 
 
-_add("shard_rewrite", _shard_rewrite, f"""WITH tl AS (SELECT workspace_folder, relative_path, line, text, {_SHARD.format("relative_path")} AS shard, {_HASH.format("relative_path")} AS h FROM ({_lines("(" + views.FILES + ")", 3)})),
+_add("shard_rewrite", _shard_rewrite, f"""WITH tl AS (SELECT workspace_folder, relative_path, line, text, {_SHARD.format("relative_path")} AS shard, {_HASH.format("relative_path")} AS h FROM ({_lines("(" + views.FILES + ")")})),
   gone AS (SELECT * FROM tl WHERE line = 0 AND (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 5 = 0)
   SELECT workspace_folder, relative_path, line, text, shard FROM tl WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.workspace_folder = tl.workspace_folder AND gone.relative_path = tl.relative_path)
   UNION ALL SELECT workspace_folder, relative_path, line, '> ' || text, shard FROM gone""")
@@ -401,7 +398,10 @@ def _index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("file_count", "symbol_count", "created_at", F.explode("language_counts").alias("language", "files"))
 
 
-_add("index_summary", _index_summary, f"WITH {_TYPED}, s AS ({_rule_sql('java')}) SELECT (SELECT count(*) FROM f) AS file_count, (SELECT count(*) FROM s) AS symbol_count, '2024-01-01T00:00:00.000Z' AS created_at, language, count(*) AS files FROM f GROUP BY language")
+_add("index_summary", _index_summary, f"WITH {_TYPED}, s AS ({views.declared_sql('java')}) SELECT (SELECT count(*) FROM f) AS file_count, (SELECT count(*) FROM s) AS symbol_count, '2024-01-01T00:00:00.000Z' AS created_at, language, count(*) AS files FROM f GROUP BY language")
+
+_add("text_line_count", lambda s, d: sync.summary(_typed(s, d), _symbols(s, d), "", extract.text_lines(views.files(s, d))).select("file_count", "text_line_count"), f"SELECT (SELECT count(*) FROM ({views.FILES})) AS file_count, (SELECT count(*) FROM ({_lines('(' + views.FILES + ')')})) AS text_line_count")
+_add("delete_rows", lambda s, d: sync.replace_rows(views.files(s, d).select(*extract.KEYS, "size"), (gone := views.files(s, d).where("ord % 3 = 0").select(*extract.KEYS, "size")), gone.where("false")), f"SELECT workspace_folder, relative_path, size FROM ({views.FILES}) WHERE ord % 3 <> 0")
 
 # ---- the change feed
 
@@ -435,6 +435,107 @@ def _round_trip(strict: bool) -> Call:
     return run
 
 
-_GO = f"SELECT relative_path, line, \"character\", kind, name, signature FROM ({_rule_sql('go')})"
+_GO = f"SELECT relative_path, line, \"character\", kind, name, signature FROM ({views.declared_sql('go')})"
 _add("load_roundtrip", _round_trip(False), _GO)
 _add("load_json", _round_trip(True), _GO)
+
+
+def _go_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.code(spark, sf_dir, "go").select("*", F.col("relative_path").alias("absolute_path"), F.length("content").cast("long").alias("size"), F.lit(1.0).alias("mtime_ms"))
+
+
+def _stored(write: Callable, read: Callable) -> Call:
+    """A query that writes an index of Go files to a scratch folder and reads something from it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .scratch import folder
+
+        path = folder(spark)
+        write(spark, store.build(_go_scan(spark, sf_dir), created_at="2024-01-01T00:00:00.000Z"), path)
+        return read(spark, path)
+
+    return run
+
+
+def _write_bad(spark: SparkSession, index: store.Index, path: str) -> None:
+    store.write_json(index, path)
+    spark.createDataFrame([('{"relativePath": "bad.go", "size": ',), ("no json",)], "value string").coalesce(1).write.mode("append").text(f"{path}/files.jsonl")
+
+
+def _write_legacy(spark: SparkSession, index: store.Index, path: str) -> None:
+    whole = store.nested(index).agg(F.collect_list(F.struct("*")).alias("files"))
+    whole.select(F.lit(1).alias("version"), F.lit("2024").alias("createdAt"), "files").coalesce(1).write.json(f"{path}/index.json")
+
+
+def _read_files(spark: SparkSession, rows: DataFrame | None) -> DataFrame:
+    if rows is None:
+        return spark.createDataFrame([], "relative_path string, symbols long, lines long")
+    return rows.select(F.col("relativePath").alias("relative_path"), F.size("symbols").cast("long").alias("symbols"), F.size("textLines").cast("long").alias("lines"))
+
+
+_PER_FILE = f"SELECT relative_path, count(name) AS symbols, LINES AS lines FROM (SELECT DISTINCT relative_path AS p FROM ({views.code_sql('go')})) f LEFT JOIN ({_GO}) g ON g.relative_path = f.p GROUP BY ALL"
+_LINE_COUNT = f"(SELECT count(*) FROM ({views.code_sql('go')}) c WHERE c.relative_path = g.relative_path AND c.line < 200)"
+_add("load_malformed", _stored(_write_bad, lambda s, p: _read_files(s, store.read_json(s, p))), _PER_FILE.replace("LINES", _LINE_COUNT))
+_add("load_malformed_strict", _stored(_write_bad, lambda s, p: _read_files(s, store.read_json(s, p, strict=True))), "SELECT '' AS relative_path, CAST(0 AS BIGINT) AS symbols, CAST(0 AS BIGINT) AS lines WHERE FALSE")
+_add("load_legacy", _stored(_write_legacy, lambda s, p: _read_files(s, store.read_legacy(s, f"{p}/index.json"))), _PER_FILE.replace("LINES", "CAST(0 AS BIGINT)"))
+_add("load_fallback", _stored(_write_legacy, lambda s, p: _read_files(s, store.read_any(s, p))), _PER_FILE.replace("LINES", "CAST(0 AS BIGINT)"))
+_add("save_without_text", _stored(lambda s, i, p: store.write_json(i, p, False), lambda s, p: _read_files(s, store.read_json(s, p))), _PER_FILE.replace("LINES", "CAST(0 AS BIGINT)"))
+
+
+def _lines_of(spark: SparkSession, path: str) -> DataFrame:
+    return store.read_index(spark, path).text_lines.select("relative_path", "line", "text", "shard")
+
+
+def _rewrite(spark: SparkSession, index: store.Index, path: str) -> None:
+    name = store.write_index(index, path)
+    folder = f"{path}/{name}/text_lines"
+    gone = spark.read.parquet(folder).where("relative_path like '%2.go'")
+    store.rewrite_shards(spark, folder, gone, gone.where("line = 0").withColumn("text", F.lit("one")), f"{path}/staging")
+
+
+_GO_LINES = f"SELECT relative_path, line, trim(raw) AS text, {_SHARD.format('relative_path')} AS shard FROM ({views.code_sql('go')}) WHERE line < 200"
+_add("shards_read_back", _stored(lambda s, i, p: store.write_index(i, p), _lines_of), _GO_LINES)
+_add("shards_rewritten", _stored(_rewrite, _lines_of), f"SELECT relative_path, line, CASE WHEN relative_path LIKE '%2.go' THEN 'one' ELSE text END AS text, shard FROM ({_GO_LINES}) WHERE NOT (relative_path LIKE '%2.go' AND line > 0)")
+_add("text_search_stored", _stored(lambda s, i, p: store.write_index(i, p), lambda s, p: search.text_search("struct", store.read_index(s, p).text_lines)), f"""WITH tl AS (SELECT *, 'w' AS workspace_folder, dense_rank() OVER (ORDER BY relative_path) AS ord FROM ({_GO_LINES})),
+  {_shard_sql("struct", 80).replace(_SHARD.format("relative_path") + " AS shard, ", "")} SELECT * FROM hits""")
+
+
+def _clear(spark: SparkSession, index: store.Index, path: str) -> None:
+    store.write_index(index, path)
+    store.clear_index(spark, path, text_only=True)
+
+
+_add("clear_text", _stored(_clear, lambda s, p: store.read_index(s, p).files.select("relative_path").join(_lines_of(s, p).groupBy("relative_path").count(), "relative_path", "left").select("relative_path", F.coalesce("count", F.lit(0)).cast("long").alias("lines"))), f"SELECT DISTINCT relative_path, CAST(0 AS BIGINT) AS lines FROM ({views.code_sql('go')})")
+_EXTRA = "concat(content, '\\nfunc added() {')"
+
+
+def _sync_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index without some files; then a scan that has them, lacks others, and has some changed."""
+    from .scratch import folder
+
+    path, scan = folder(spark), _go_scan(spark, sf_dir)
+    store.sync_index(spark, path, scan.where("relative_path not like '%4.go'"), created_at="2024")
+    longer = scan.withColumn("content", F.expr(f"case when relative_path like '%2.go' then {_EXTRA} else content end"))
+    store.sync_index(spark, path, longer.withColumn("size", F.length("content").cast("long")).where("relative_path not like '%3.go'"), created_at="2025")
+    return store.read_index(spark, path).symbols.select("relative_path", "line", "kind", "name")
+
+
+_GO_BRIEF = f"SELECT relative_path, line, kind, name FROM ({_GO})"
+_ADDED = f"SELECT relative_path, CAST(count(*) AS INTEGER) AS line, 'function' AS kind, 'added' AS name FROM ({views.code_sql('go')}) WHERE relative_path LIKE '%2.go' GROUP BY relative_path"
+_add("sync_snapshot", _sync_snapshot, f"SELECT * FROM ({_GO_BRIEF}) WHERE relative_path NOT LIKE '%3.go' UNION ALL {_ADDED}")
+
+
+def _update_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single files: some changed, some deleted, one now ignored, one ignored and unknown."""
+    from .scratch import folder
+
+    path, scan = folder(spark), _go_scan(spark, sf_dir)
+    store.write_index(store.build(scan, created_at="2024"), path)
+    changed = scan.where("relative_path like '%2.go' or relative_path like '%5.go'").withColumn("content", F.expr(_EXTRA))
+    changed = changed.unionByName(changed.withColumn("relative_path", F.concat(F.lit("vendor/"), "relative_path")))
+    index = store.updated(store.read_index(spark, path), changed, scan.where("relative_path like '%3.go'"), ignore=["*5.go"], created_at="2025")
+    store.write_index(index, path)
+    return store.read_index(spark, path).symbols.select("relative_path", "line", "kind", "name")
+
+
+_add("update_snapshot", _update_snapshot, f"SELECT * FROM ({_GO_BRIEF}) WHERE relative_path NOT LIKE '%3.go' AND relative_path NOT LIKE '%5.go' UNION ALL {_ADDED}")

@@ -50,9 +50,9 @@ TEMPLATES = {
     "java": ["public final class {n} extends Base {{", "interface {n}<T> {{", "  private List<String> {n}(int a) throws IOException {{", "void {n}();", "else if ({n}) {{", "// class {n} {{", "public static enum {n} {{ A }}"],
     "kotlin": ["data class {n}(val a: Int)", "enum class {n} {{ R }}", "object {n} {{", "override suspend fun String.{n}(id: Int) {{", "val {n} = 1", "internal interface {n}"],
     "go": ["type {n} struct {{", "type {n} interface {{", "type {n} string", "func (s *Server) {n}(w W) error {{", "type {n}[T any] struct {{", "func {n}() {{"],
-    "rust": ["pub struct {n} {{", "trait {n} {{", "pub enum {n} {{", "pub async fn {n}<T>(x: T) {{", "pub(crate) fn {n}() {{", "#[derive({n})]"],
+    "rust": ["pub struct {n} {{", "trait {n} {{", "pub enum {n} {{", "pub async fn {n}<T>(x: T) {{", "pub(crate) fn {n}() {{", "#[derive({n})]", "fn {n} <T>(x: T) {{", "fn {n}<>(x) {{"],
     "csharp": ["public sealed partial class {n} : Base", "public readonly struct {n}", "public override async Task<int> {n}(int a) =>", "int {n} {{ get; }}", "internal interface {n}"],
-    "cpp": ["template <typename T> class {n} {{", "using {n} = std::vector<char>;", "typedef unsigned long {n};", "int {n}::size() const {{", "else if ({n}) {{", "int {n}(int a);", "#define {n} 1"],
+    "cpp": ["template <typename T> class {n} {{", "using {n} = std::vector<char>;", "typedef unsigned long {n};", "int {n}::size() const {{", "else if ({n}) {{", "int {n}(int a);", "#define {n} 1", "template <template <class> class T> class {n} {{", "template<> class {n}<int> {{", "template <class A, class B = X<A>> struct {n} {{"],
     "php": ["final class {n} {{", "trait {n} {{", "  public static function {n}($a) {{", "<?php {n}", "interface {n} {{"],
     "ruby": ["class {n} < Base", "module {n}", "  def self.{n}?(x)", "def {n}=(v)", "# def {n}"],
     "swift": ["public final class {n}: Base {{", "protocol {n} {{", "struct {n} {{", "override func {n}() {{", "class func {n}() {{"],
@@ -63,6 +63,25 @@ TEMPLATES = {
     "javascript": ["export default abstract class {n} {{", "export interface {n} {{", "export type {n} = string", "export default async function {n}() {{", "export const {n} = async (a) => {{", "const {n} = 5", "  let {n} = x => x"],
     "python": ["class {n}(A):", "    def {n}(self):", "        pass", "    class {n}B:", "        async def {n}(self):", "            def inner_{n}(): pass", "    def k_{n}(self): pass", "# def {n}", "def {n}():", "x = 1"],
 }
+#: What each line declares, written out by hand: kind and name ({last}: the last letter of the name), or nothing.
+DECLARED = {
+    "java": ["class {n}", "interface {n}", "function {n}", "", "function if", "", "type {n}"],
+    "kotlin": ["class {n}", "type {n}", "type {n}", "function {n}", "", "interface {n}"],
+    "go": ["class {n}", "interface {n}", "type {n}", "function {n}", "", "function {n}"],
+    "rust": ["class {n}", "interface {n}", "type {n}", "function {n}", "", "", "function {n}", ""],
+    "csharp": ["class {n}", "type {n}", "function {n}", "", "interface {n}"],
+    "cpp": ["class {n}", "type {n}", "type {n}", "function {n}::size", "function if", "", "", "class T", "", ""],
+    "php": ["class {n}", "type {n}", "function {n}", "", "interface {n}"],
+    "ruby": ["class {n}", "type {n}", "function {n}?", "function {n}=", ""],
+    "swift": ["class {n}", "interface {n}", "type {n}", "function {n}", "class func"],
+    "dart": ["class {n}", "type {n}", "function {n}", "function {last}", "function {n}", "function f"],
+    "shell": ["function {n}", "function {n}", ""],
+    "powershell": ["function {n}", "class {n}", ""],
+    "lua": ["class app.{n}", "type {n}", "class {n}", "function M:{n}", "function M.{n}", "function {n}", "class {n}", ""],
+    "javascript": ["class {n}", "interface {n}", "type {n}", "function {n}", "function {n}", "", "function {n}"],
+    # the lite profile knows only the default rules, here over the lines of java
+    "lite": ["", "interface {n}", "", "", "", "", ""],
+}
 FILE_EXTENSION = {"java": "java", "kotlin": "kt", "go": "go", "rust": "rs", "csharp": "cs", "cpp": "cpp", "php": "php", "ruby": "rb", "swift": "swift", "dart": "dart", "shell": "sh", "powershell": "ps1", "lua": "lua", "javascript": "js", "python": "py"}
 
 
@@ -79,7 +98,15 @@ def code_sql(language: str) -> str:
     lines = [t.format(n="\x01") for t in TEMPLATES[language]]
     listed = "[" + ", ".join("'" + x.replace("'", "''").replace("\x01", "{n}") + "'" for x in lines) + "]"
     raw = f"replace({listed}[CAST(p_partkey % {len(lines)} AS INTEGER) + 1], '{{n}}', replace(p_name, ' ', '_'))"
-    return f"SELECT 'w' AS workspace_folder, p_brand || '.{FILE_EXTENSION[language]}' AS relative_path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS line, {raw} AS raw FROM part"
+    return f"SELECT 'w' AS workspace_folder, p_brand || '.{FILE_EXTENSION[language]}' AS relative_path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS line, {raw} AS raw, p_partkey, replace(p_name, ' ', '_') AS n FROM part"
+
+
+def declared_sql(language: str, profile: str = "full") -> str:
+    """The declarations that the written-out list tells, line by line."""
+    told = [x.split(" ", 1) if x else ["", ""] for x in DECLARED[language if profile == "full" else profile]]
+    listed = lambda k: "[" + ", ".join(f"'{x[k]}'" for x in told) + f"][CAST(p_partkey % {len(told)} AS INTEGER) + 1]"
+    return f"""SELECT relative_path, line, CAST(length(raw) - length(ltrim(raw)) AS INTEGER) AS "character", {listed(0)} AS kind,
+  replace(replace({listed(1)}, '{{n}}', n), '{{last}}', right(n, 1)) AS name, CAST(NULL AS VARCHAR) AS container_name, substr(trim(raw), 1, 240) AS signature FROM ({code_sql(language)}) WHERE {listed(0)} <> ''"""
 
 
 def scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

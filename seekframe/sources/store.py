@@ -19,6 +19,7 @@ from ..functions.text import slashes
 from ..operators import extract
 from ..operators.extract import KEYS, SIZE_CAP
 from ..operators.ignore import indexed
+from ..operators.sync import classify
 
 VERSION = 1
 _SYMBOL = "struct<kind:string,name:string,containerName:string,location:struct<workspaceFolder:string,relativePath:string,line:int,character:int>,signature:string>"
@@ -77,13 +78,52 @@ def build(scanned: DataFrame, profile: str = "full", total: int | None = None, l
     symbols = extract.symbols(files, profile).join(order, KEYS).withColumn("ord", F.col("file_ord") * (1 << 32) + F.col("line")).drop("file_ord")
     lines = extract.text_lines(files, limit) if total is None else extract.budgeted_text_lines(files, total, limit)
     lines = lines.join(order, KEYS).withColumn("ord", F.col("file_ord") * (1 << 32) + F.col("line")).drop("file_ord")
-    kept = files.drop("content")
+    return _index(files.drop("content"), symbols, lines, created_at)
+
+
+def _index(kept: DataFrame, symbols: DataFrame, lines: DataFrame, created_at: str | None) -> Index:
     stamp = F.lit(created_at) if created_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     meta = kept.agg(F.count("*").alias("file_count"), F.sort_array(F.collect_set("workspace_folder")).alias("workspace_folders")).join(symbols.agg(F.count("*").alias("symbol_count")))
-    meta = meta.select(F.lit(VERSION).alias("version"), F.lit("tables").alias("storage"), stamp.alias("created_at"), "workspace_folders", "file_count", "symbol_count")
+    meta = meta.join(lines.agg(F.count("*").alias("text_line_count")))
+    meta = meta.select(F.lit(VERSION).alias("version"), F.lit("tables").alias("storage"), stamp.alias("created_at"), "workspace_folders", "file_count", "symbol_count", "text_line_count")
     return Index(meta, kept, symbols, lines)
 
 
+def _with(index: Index, gone: DataFrame, changed: DataFrame, profile: str, limit: int, created_at: str | None) -> Index:
+    """The index without the files of ``gone``, and with changed ones extracted anew, after the others in order."""
+    fresh = build(changed, profile, limit=limit, created_at=created_at)
+    base = (index.files.agg(F.max("file_ord")).first()[0] or 0) + 1
+    after = {"files": ("file_ord", base), "symbols": ("ord", base << 32), "text_lines": ("ord", base << 32)}
+    keys = gone.select(*KEYS).distinct()
+    tables = []
+    for name, (order, shift) in after.items():
+        old, new = getattr(index, name), getattr(fresh, name).withColumn(order, F.col(order) + shift)
+        tables.append(old.join(keys, KEYS, "left_anti").select(old.columns).unionByName(new.select(old.columns)))
+    return _index(*tables, created_at)
+
+
+def synced(index: Index, scanned: DataFrame, profile: str = "full", cap: int = SIZE_CAP, limit: int = extract.MOST_LINES, created_at: str | None = None) -> Index:
+    """The index brought up to a scan: only files of another size or time, and new ones, are extracted."""
+    actions = classify(index.files, scanned, cap).select(*KEYS, "action")
+    changed = scanned.join(actions.where("action in ('updated', 'added')"), KEYS, "left_semi")
+    return _with(index, actions.where("action <> 'preserved'"), changed, profile, limit, created_at)
+
+
+def updated(index: Index, changed: DataFrame, deleted: DataFrame, profile: str = "full", ignore: list[str] | None = None, cap: int = SIZE_CAP, limit: int = extract.MOST_LINES, created_at: str | None = None) -> Index:
+    """The index after changes of single files: changed (a scan of them) are extracted anew, deleted ones, and those now ignored or too large, go.
+
+    A file that is ignored and unknown changes nothing.
+    """
+    keep = indexed(F.col("relative_path"), profile, ignore or []) & (F.col("size") <= cap)
+    return _with(index, changed.select(*KEYS).unionByName(deleted.select(*KEYS)), changed.where(keep), profile, limit, created_at)
+
+
+def sync_index(spark: SparkSession, path: str, scanned: DataFrame, **options) -> str:
+    """Brings the index at ``path`` up to a scan, as a new snapshot; one that is missing is built."""
+    index = read_index(spark, path)
+    return write_index(build(scanned, **{k: v for k, v in options.items() if k != "cap"}) if index is None else synced(index, scanned, **options), path)
+
+
 def write_index(index: Index, path: str, with_text: bool = True) -> str:
     """Writes a new snapshot and makes it the current one; returns its name."""
     spark = index.files.sparkSession
@@ -92,10 +132,24 @@ def write_index(index: Index, path: str, with_text: bool = True) -> str:
         getattr(index, table).write.parquet(f"{path}/{name}/{table}")
     if with_text:
         index.text_lines.write.partitionBy("shard").parquet(f"{path}/{name}/text_lines")
-    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    _move_name(spark, path, name)
     return name
 
 
+def _move_name(spark: SparkSession, path: str, name: str) -> None:
+    """Writes the snapshot's name beside ``current`` and renames it over: a reader finds the old name or the new one."""
+    fs, p = _fs(spark, f"{path}/current-{name}")
+    out = fs.create(p, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    jvm = spark.sparkContext._jvm
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(p).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(p), fs.makeQualified(_fs(spark, f"{path}/current")[1]), how)
+
+
 def read_index(spark: SparkSession, path: str) -> Index | None:
     """The current snapshot; None if there is none or its version is another."""
     if not exists(spark, f"{path}/current"):

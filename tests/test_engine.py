@@ -117,6 +117,8 @@ LINES = [
     ("lua", 'M["load-user"] = function()', "function", "load-user"), ("lua", "local P = setmetatable({}, M)", "class", "P"), ("lua", "-- local X = {}", None, None),
     ("javascript", "export default abstract class App {", "class", "App"), ("javascript", "export interface Props {", "interface", "Props"), ("vue", "export type Id = string", "type", "Id"),
     ("javascript", "export default async function load() {", "function", "load"), ("typescript", "export const go = async (a) => {", "function", "go"), ("javascript", "const id = x => x", "function", "id"),
+    ("rust", "fn foo <T>(x: T) {", "function", "foo"), ("rust", "fn foo<>(x) {", None, None), ("cpp", "template <template <class> class T> class Foo {", "class", "T"), ("cpp", "template<> class Foo<int> {", None, None),
+    ("cpp", "template <class A, class B = X<A>> struct Foo {", None, None),
     ("javascript", "const n = 5", None, None), ("javascript", "export default class {", None, None), ("javascript", "enum Mode { A }", None, None),
 ]
 
