@@ -140,10 +140,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(documents: DataFrame, labels: DataFrame, categories: dict[str, str], most_labels: int = MOST_LABELS) -> Chain:
-    """Trains on at most ``most_labels`` labelled documents. categories: name to SQL condition over the label columns, in order."""
+    """Trains on at most ``most_labels`` labelled documents. categories: name to SQL condition over the label columns, in order.
+
+    Of labels, and of texts, that repeat an id the smallest counts, wherever the rows lie.
+    """
     names = list(categories)
-    some = sampled(labels.where("doc_id is not null").select("doc_id", F.array(*[F.expr(f"cast(({c}) as double)") for c in categories.values()]).alias("labels")).dropDuplicates(["doc_id"]), "doc_id", most_labels)
-    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "labels", "text")
+    some = sampled(labels.where("doc_id is not null").select("doc_id", F.array(*[F.expr(f"cast(({c}) as double)") for c in categories.values()]).alias("labels")).groupBy("doc_id").agg(F.min("labels").alias("labels")), "doc_id", most_labels)
+    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("labels").alias("labels"), F.min("text").alias("text"))
     found = sorted(rows.mapInArrow(_sets, "doc_id long, labels array<double>, features binary").collect(), key=lambda r: r["doc_id"])
     y = np.array([[np.nan if v is None else v for v in r["labels"]] for r in found], float).reshape(len(found), len(names))
     return fit_chain(names, [np.frombuffer(r["features"], np.uint64) for r in found], y, crc32([r["doc_id"] for r in found]) % 5 if found else np.zeros(0, int))
