@@ -217,8 +217,16 @@ def _suspects(data: np.ndarray, at: np.ndarray) -> set[int]:
     return set((np.searchsorted(at, np.concatenate([np.array(hits, np.int64), long]), "right") - 1).tolist())
 
 
-def _outside(start: int, end: int, spans: list[tuple[str, int, int]]) -> bool:
-    return all(end <= s or start >= e for _, s, e in spans)
+class _Taken:
+    """Whether a span meets one of a text's base spans: the furthest end of those that start before its own end tells."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        both = np.array(sorted((s, e) for _, s, e in spans), np.int64).reshape(-1, 2)
+        self.start, self.end = both[:, 0], np.maximum.accumulate(both[:, 1])
+
+    def meets(self, start: int, end: int) -> bool:
+        k = int(np.searchsorted(self.start, end))
+        return k > 0 and self.end[k - 1] > start
 
 
 def scan(texts: pa.Array, model: Model | None) -> list[list[tuple[str, int, int]]]:
@@ -235,10 +243,13 @@ def scan(texts: pa.Array, model: Model | None) -> list[list[tuple[str, int, int]
         good = np.flatnonzero(model.added(data, runs.start, runs.end))
         doc = runs.document()
         points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80))) if len(good) else None
+        taken: dict[int, _Taken] = {}
         for i in good:
             d = int(doc[i])
+            if d not in taken:
+                taken[d] = _Taken(out[b + d])
             s, t = (int(points[x] - points[at[d]]) for x in (runs.start[i], runs.end[i]))
-            if _outside(s, t, [x for x in out[b + d] if x[0] != "format"]):
+            if not taken[d].meets(s, t):
                 out[b + d].append(("format", s, t))
         for d in set(doc[good].tolist()):
             out[b + d].sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
