@@ -125,9 +125,14 @@ class Index:
         reach = np.minimum(self.own, _weakest(back, impact[back], np.asarray(words.first, np.int64)))
         self.least = np.where(self.own > 0, THRESHOLD * reach, np.inf)
         relative = impact / self.least[item]
-        self.block_max = np.zeros((len(self.terms), self.blocks), np.float32)
-        np.maximum.at(self.block_max, (term, item // BLOCK), relative)
-        self.term_max = self.block_max.max(axis=1) if self.blocks else np.zeros(len(self.terms))
+        # one entry for each term and block that has it
+        order = np.lexsort((item, term))
+        key = term[order] * max(self.blocks, 1) + item[order] // BLOCK
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block_max = np.maximum.reduceat(relative[order], start).astype(np.float32) if len(start) else np.zeros(0, np.float32)
+        of, self.block_no = key[start] // max(self.blocks, 1), key[start] % max(self.blocks, 1)
+        self.block_first = np.searchsorted(of, np.arange(len(self.terms) + 1))
+        self.term_max = np.maximum.reduceat(self.block_max, self.block_first[:-1]) if len(start) else np.zeros(len(self.terms))
         self.maybe = np.zeros(1 << 18, bool)
         self.maybe[self.terms & np.uint64(0x3FFFF)] = True
         both = [split_item(t) for t in texts]
@@ -167,15 +172,18 @@ class Index:
             row, t = code // len(self.terms), code % len(self.terms)
             heads = np.flatnonzero(np.diff(row, prepend=-1))
             # 2. sums of block maxima, for each passage and block
+            of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(row))))
+            m = self.block_first[t + 1] - self.block_first[t]
+            at = np.repeat(self.block_first[t] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            whose, where, how = np.repeat(of, m), self.block_no[at], self.block_max[at]
             for c in range(0, self.blocks, 512):
-                bound = np.add.reduceat(self.block_max[t, c : c + 512], heads, axis=0)
-                p, k = np.nonzero(bound >= 1 - 1e-4)
-                if not len(p):
+                width = min(512, self.blocks - c)
+                some = (where >= c) & (where < c + width) if self.blocks > 512 else slice(None)
+                bound = np.bincount(whose[some] * width + where[some] - c, how[some], len(heads) * width).reshape(-1, width)
+                wanted = bound >= 1 - 1e-4
+                if not wanted.any():
                     continue
                 # 3. full scores of those blocks' items
-                wanted = np.zeros((len(heads), min(512, self.blocks - c)), bool)
-                wanted[p, k] = True
-                of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(row))))
                 has = wanted.any(axis=1)[of]
                 tt, oo = t[has], of[has]
                 m = self.first[tt + 1] - self.first[tt]
@@ -249,9 +257,10 @@ def find(documents: DataFrame, benchmark: DataFrame, question: float = QUESTION,
     shared = [spark.sparkContext.broadcast(pickle.dumps(x)) for x in _indexes(benchmark, chunk)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = [pickle.loads(s.value) for s in shared]
         for batch in batches:
-            for s in shared:
-                found = matches(pickle.loads(s.value), batch["text"], question, answer)
+            for index in indexes:
+                found = matches(index, batch["text"], question, answer)
                 ids = batch["doc_id"]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 columns = list(zip(*((ids[r].as_py(), *x) for r, *x in found), strict=True)) or [()] * 5
@@ -266,8 +275,9 @@ def clean(documents: DataFrame, benchmark: DataFrame, question: float = QUESTION
     shared = [spark.sparkContext.broadcast(pickle.dumps(x)) for x in _indexes(benchmark, chunk)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = [pickle.loads(s.value) for s in shared]
         for batch in batches:
-            bad = {r for s in shared for r, *_ in matches(pickle.loads(s.value), batch["text"], question, answer)}
+            bad = {r for index in indexes for r, *_ in matches(index, batch["text"], question, answer)}
             yield batch if not bad else batch.filter(pa.array([i not in bad for i in range(batch.num_rows)]))
 
     return documents.mapInArrow(run, documents.schema)

@@ -704,3 +704,38 @@ def test_near_duplicates_of_odd_rows(spark):
     got = sorted((r["doc_id"] or 0, r["text"] or "", r["kept_id"], str(r["row"])) for r in out.collect())
     assert got == sorted([(5, a, 1, "{'k': 1}"), (2, b, 1, "None"), (5, c, 1, "None"), (0, a, 3, "None"), (0, a, 3, "None"), (7, "", 4, "{'z': 0}"), (8, " ", 4, "None")])
     assert corpus_pipeline.near_duplicates(spark, docs_in.limit(0), "").collect() == []
+
+
+def test_spans_that_meet_base_spans():
+    rng = random.Random(4)
+    for _ in range(200):
+        spans = [("hex", s, s + rng.randrange(1, 9)) for s in (rng.randrange(60) for _ in range(rng.randrange(6)))]
+        taken = secrets._Taken(spans)
+        for s in range(60):
+            e = s + rng.randrange(1, 12)
+            assert taken.meets(s, e) == any(s < y and x < e for _, x, y in spans)
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """Labels and texts that repeat an id count by their order, not by the partitions they lie in."""
+    good, bad = [prose(random.Random(k), 30) for k in range(40)], ["vile " + prose(random.Random(k + 99), 30) + " filth" for k in range(40)]
+    rows = [(k, t) for k, t in enumerate(good + bad)] + [(k, "zz other") for k in range(0, 80, 3)]
+    marks = [(k, int(k >= 40)) for k in range(80)] + [(k, 1) for k in range(0, 80, 5)]
+    chains = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        random.Random(seed + 5).shuffle(marks)
+        d, m = spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + 3 * seed), spark.createDataFrame(marks, "doc_id long, toxic int").repartition(2 + seed)
+        chain = toxicity.fit(d, m, {"toxic": "toxic = 1"})
+        chains.append([[np.asarray(x).tolist() for x in model] for model in chain.models])
+    assert chains[0] == chains[1]
+
+
+@pytest.mark.parametrize("k", [3, 4, 8])
+def test_whole_queries_run(spark, k):
+    """Queries without SQL, run over the smallest tables: a row for each document."""
+    from seekframe.llm import queries
+
+    name = next(n for n in queries.QUERIES if n.startswith(f"op{k}_"))
+    ids = sorted(r["doc_id"] for r in queries.QUERIES[name](spark, SF).select("doc_id").collect())
+    assert ids == sorted(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
