@@ -2,7 +2,7 @@
 
 A word is a run of bytes outside 0x20 and 0x09-0x0D.  UTF-8 never uses those bytes inside a
 longer character, so byte runs and code point runs are the same words.  Hashes ignore the case
-of A-Z only.  Everything works on one block of a few megabytes at a time, so memory follows the
+of A-Z only.  Everything works on one block of half a megabyte at a time, so memory follows the
 block (or the longest single text), never the partition.
 """
 
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that are worked on at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True

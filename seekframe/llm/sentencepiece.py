@@ -37,8 +37,8 @@ _NO_MARK = np.zeros(256, bool)
 _INF = np.int64(1) << 40
 #: Longer units are cut into windows of this many bytes, each begun ``STEP`` bytes after the one before.
 LONG, STEP = 512, 384
-#: Piece ids that are decoded at once.
-IDS = 1 << 18
+#: Text bytes whose distinct units are encoded once, and piece ids that are decoded at once.
+TEXTS, IDS = 8 << 20, 1 << 18
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -535,7 +535,7 @@ def encode(documents: DataFrame, path: str = MODEL, text: str = "text", out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _cached(shared.value, merges)
         for whole in batches:
-            for b, e in slices(whole[text]):
+            for b, e in slices(whole[text], TEXTS):
                 yield _encoded(pieces, whole.slice(b, e - b), text, out)
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, _PIECES)]))
@@ -561,7 +561,9 @@ def round_trip(documents: DataFrame, path: str = MODEL, text: str = "text", ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _cached(shared.value, merges)
         for whole in batches:
-            for b, e in slices(whole[text]):
-                yield _decoded(pieces, _encoded(pieces, whole.slice(b, e - b), text, ids), ids, out)
+            for b, e in slices(whole[text], TEXTS):
+                coded = _encoded(pieces, whole.slice(b, e - b), text, ids)
+                for c, d in _id_slices(coded[ids]):
+                    yield _decoded(pieces, coded.slice(c, d - c), ids, out)
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(ids, _PIECES), StructField(out, _TEXT)]))
