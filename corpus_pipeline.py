@@ -34,11 +34,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     words = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     lone = F.col("doc_id").isNull() | ~words
     joined = ngram_join.join(docs, detail=True).where("n_shingles > 0 and doc_id = component_id")
-    keep = joined.groupBy("grp").agg(F.min(F.struct("doc_id", "print")).alias("first")).select("first.*")
+    rows_of = joined.groupBy("grp", "doc_id", "print").agg(F.count("*").alias("n"))
+    keep = rows_of.groupBy("grp").agg(F.min(F.struct("doc_id", "print", "n")).alias("first")).select("first.*")
     row = docs.where(~lone).select("doc_id", ngram_join.text_print(F.col("text")).alias("print"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    place = F.struct(*(F.to_json(F.struct(f"row.`{c}`")) if "map<" in kind else F.col(f"row.`{c}`") for c, kind in docs.dtypes))
-    first = row.join(keep, ["doc_id", "print"], "left_semi").groupBy("doc_id", "print").agg(F.min_by("row", place).alias("row"))
-    return first.select("row.*").unionByName(docs.where(lone))
+    once = row.join(keep.where("n = 1"), ["doc_id", "print"], "left_semi").select("row.*")
+    # only rows that repeat id and text meet; they differ in the other columns at most
+    place = F.struct(F.lit(0), *(F.to_json(F.struct(f"row.`{c}`")) if "map<" in kind else F.col(f"row.`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text")))
+    again = row.join(keep.where("n > 1"), ["doc_id", "print"], "left_semi").groupBy("doc_id", "print").agg(F.min_by("row", place).alias("row")).select("row.*")
+    return once.unionByName(again).unionByName(docs.where(lone))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
