@@ -439,8 +439,8 @@ def test_heads_and_entries_of_a_part():
     """Hot entries go past their part, which still knows the hash; equal sums mean equal sets."""
     rng = np.random.default_rng(5)
     classes = np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8)
-    words = [[f"w{x}" for x in rng.integers(0, 25, 30)] for _ in range(60)]
-    texts = [" ".join(w) for w in words] + ["a b c d e f"] * 3 + ["a b c d e g"] * 2 + ["a b c d e h"]
+    passages = [" ".join(f"p{k}w{x}" for x in range(9)) for k in range(8)]
+    texts = [" ".join([*(passages[k] for k in rng.permutation(8)[:3]), f"own{i} w{i % 7} z"]) for i in range(60)] + ["a b c d e f"] * 3 + ["a b c d e g"] * 2 + ["a b c d e h"]
     rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
 
     class Shared:
@@ -458,18 +458,28 @@ def test_heads_and_entries_of_a_part():
         entries = sorted({(h, d, p) for o in out for h, d, p, x in zip(o["hash"], o["set"], o["place"], o["head"], strict=True) if not x})
         return heads, entries
 
-    heads, entries = run(len(texts), 10**9)
-    of = collections.defaultdict(set)
-    for h, d, _ in entries:
-        of[h].add(d)
-    assert entries and {h for h, _ in heads} == set(of) and len(heads) == len(of) and all(len(x) > 1 for x in of.values())
-    assert len({s for _, s in heads}) == len({frozenset(x) for x in of.values()})
-    for size, hot in ((1, 10**9), (7, 10**9), (7, 3), (66, 2), (30, 5)):
-        h, e = run(size, hot)
-        assert {x for x, _ in h} == set(of) and len(h) == len(of) and e == entries
+    of, places = collections.defaultdict(set), {}
+    for _, sets in ngram_join.shingle_sets(rows["text"], 5):
+        for x in sets:
+            low = ngram_join._fingerprint(x)[0]
+            for k, h in enumerate(ngram_join.prefix(x, classes, 50).tolist()):
+                key = int(np.array([h ^ (1 << 63)], np.uint64).view(np.int64)[0])
+                of[key].add(low)
+                places[key, low] = k
+    shared = {h for h, x in of.items() if len(x) > 1}
+    part = lambda h: int(blocks.mix(np.array([h], np.int64).view(np.uint64) ^ np.uint64(1 << 63))[0] % np.uint64(4))
+    families = collections.defaultdict(list)
+    for h in shared:
+        families[part(h), frozenset(of[h])].append(h)
+    firsts = sorted(min(x) for x in families.values())
+    assert 10 < len(firsts) < len(shared)
+    for size, hot in ((len(texts), 10**9), (1, 10**9), (7, 10**9), (7, 3), (66, 2), (30, 5)):
+        heads, entries = run(size, hot)
+        assert sorted(h for h, _ in heads) == firsts
+        assert {(h, d, places[h, d]) for h in firsts for d in of[h]} <= set(entries) <= {(h, d, places[h, d]) for h in shared for d in of[h]}
         same = collections.defaultdict(set)
-        for x, s in h:
-            same[s].add(frozenset(of[x]))
+        for h, s in heads:
+            same[s].add(frozenset(of[h]))
         assert all(len(x) == 1 for x in same.values())
 
 
