@@ -1,7 +1,9 @@
 """WARC archives with a merged external index.
 
 ``write_archives`` writes a record per page: ``response`` for the smallest page_id of equal payloads,
-``revisit`` for the others.  Files are gzipped UTF-8 WARC/1.1 in the shared folder, at most ``file_records`` records each.
+``revisit`` for the others.  Files are gzipped UTF-8 WARC/1.1 in the shared folder, at most ``file_records`` records and about
+``ARCHIVE_BYTES`` each (a longer record has a file of its own), since a reader holds one file at a time.  The html of a page
+that is a revisit already by a copy before it in its task isn't shuffled.
 ``read_archives`` parses them by Content-Length.  ``capture_history`` is the external merge: each file gives
 a run sorted by URL key and timestamp; runs are cut by sampled URL keys, and a loser tree merges the pieces of
 a cut k ways into globally ordered captures.
@@ -20,12 +22,17 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import shared_folder, written
 
 RECORD = "page_id long, url string, captured string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string, file string, record long"
+#: Bytes of records, before gzip, from which on a task goes on with its next archive.
+ARCHIVE_BYTES = 32 << 20
+#: Payload digests a task remembers at a time to drop copies early; with more it starts anew, and the join drops them.
+MOST_DIGESTS = 1 << 18
 CAPTURE = "url_key string, captured string, page_id long, payload_digest string, record_type string, file string, record long"
 
 
@@ -36,10 +43,27 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array([p.decode() for p in payloads], pa.string()), pa.array(map(len, payloads), pa.int64()), pa.array(found, pa.string())], ["page_id", "url", "html", "payload_bytes", "payload_digest"])
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A record as text without its last line feed, which the text sink adds."""
+def _without_copies(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Like ``_digests``; null html where an equal payload of a smaller page id went before: that page can only be a revisit."""
+    smallest: dict[str, int] = {}
+    for batch in _digests(batches):
+        copies = []
+        for page, size, digest in zip(*(batch[n].to_pylist() for n in ("page_id", "payload_bytes", "payload_digest")), strict=True):
+            seen = smallest.get(digest)
+            copies.append(size >= least and seen is not None and (page is None or page > seen))
+            if page is not None and (seen is None or page < seen):
+                if len(smallest) >= MOST_DIGESTS:
+                    smallest.clear()
+                smallest[digest] = page
+        html = pc.if_else(pa.array(copies, pa.bool_()), pa.scalar(None, pa.string()), batch["html"])
+        yield pa.RecordBatch.from_arrays([html if n == "html" else batch[n] for n in batch.schema.names], batch.schema.names)
+
+
+def _records(batches: Iterator[pa.RecordBatch], archive_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A record as text without its last line feed, which the text sink adds, and the number of its archive in the task."""
+    archive = held = 0
     for batch in batches:
-        out = []
+        out, archives = [], []
         for row in batch.to_pylist():
             body = "" if row["refers_to"] is not None else row["html"]
             url = (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A")
@@ -57,10 +81,15 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head += [f"WARC-Refers-To: <urn:page:{row['refers_to']}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
             head += ["Content-Type: text/html", f"Content-Length: {len(body.encode())}"]
             out.append("\r\n".join(head) + "\r\n\r\n" + body + "\r\n\r")
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            size = len(out[-1].encode())
+            if held and held + size > archive_bytes:
+                archive, held = archive + 1, 0
+            held += size
+            archives.append(archive)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(archives, pa.int32())], ["value", "archive"])
 
 
-def write_archives(pages: DataFrame, least: int = 0, file_records: int = 4_000, captured: str | None = None) -> str:
+def write_archives(pages: DataFrame, least: int = 0, file_records: int = 4_000, captured: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Writes the archives and returns their folder.  ``captured`` names a column with the WARC date (else a date derived from the page id)."""
     spark = pages.sparkSession
     when = F.col(captured).cast("string") if captured else F.date_format(F.timestamp_seconds(F.lit(1_600_000_000) + F.coalesce(F.pmod("page_id", F.lit(100_000_000)), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -69,13 +98,14 @@ def write_archives(pages: DataFrame, least: int = 0, file_records: int = 4_000,
     # the digest alone is needed to find first copies: payloads aren't shuffled for it
     brief = dated.select("page_id", "url", "html").mapInArrow(_digests, "page_id long, url string, html string, payload_bytes long, payload_digest string")
     firsts = brief.select("page_id", "payload_bytes", "payload_digest").where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("payload_digest", "first_id")
-    full = dated.select(F.to_json(F.struct("url", "captured")).alias("url"), "page_id", "html").select("page_id", "url", "html").mapInArrow(_digests, "page_id long, url string, html string, payload_bytes long, payload_digest string")
+    full = dated.select(F.to_json(F.struct("url", "captured")).alias("url"), "page_id", "html").select("page_id", "url", "html").mapInArrow(lambda b: _without_copies(b, least), "page_id long, url string, html string, payload_bytes long, payload_digest string")
     full = full.withColumn("meta", F.from_json("url", "url string, captured string")).select("page_id", F.col("meta.url").alias("url"), F.col("meta.captured").alias("captured"), "html", "payload_bytes", "payload_digest")
     joined = full.join(firsts, "payload_digest", "left")
     typed = joined.withColumn("refers_to", F.when((F.col("payload_bytes") >= least) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id"))), F.col("first_id")))
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     rows = typed.select("page_id", "url", "captured", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise("").alias("html"), "payload_bytes", "payload_digest", "refers_to")
-    rows.mapInArrow(_records, "value string").write.option("maxRecordsPerFile", file_records).text(folder, compression="gzip", lineSep="\n")
+    records = rows.mapInArrow(lambda b: _records(b, archive_bytes), "value string, archive int")
+    records.write.partitionBy("archive").option("maxRecordsPerFile", file_records).text(folder, compression="gzip", lineSep="\n")
     return folder
 
 
