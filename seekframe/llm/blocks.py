@@ -187,10 +187,16 @@ def letter_runs(data: np.ndarray, at: np.ndarray, most: int | None = None) -> Wo
 def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, the same ones each time: those with the smallest hashes of the key.
 
-    Rows are counted first, so that each task passes on only its share of the smallest hashes.
+    Rows are counted by the hash's first bits beforehand, so that each task passes on only the parts that hold the
+    smallest; however often a key repeats, ``most`` rows remain where there are as many.
     """
     from pyspark.sql import functions as F
 
-    share = min(1.0, (2 * most + 100) / max(1, rows.count()))
-    near = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32)) < int(share * (1 << 32)) + 1)
+    part = F.shiftright(F.xxhash64(key), 50)  # 2^14 parts: as many rows on the driver at most
+    last, seen = None, 0
+    for last, n in sorted(map(tuple, rows.groupBy(part.alias("part")).count().collect())):
+        seen += n
+        if seen >= most:
+            break
+    near = rows if last is None else rows.where(part <= last)
     return near.orderBy(F.xxhash64(key), key).limit(most)
