@@ -2,7 +2,7 @@
 
 The network reads letter runs (pieces of at most ``WINDOW`` bytes, A-Z folded), labels every position from the
 states of both directions there, and a document's probabilities are the mean over all its positions.  A run
-gives the same labels wherever it stands, so each Arrow batch runs its distinct runs once, equal lengths together.
+gives the same labels wherever it stands, so each slice of ``SLICE_BYTES`` runs its distinct runs once, equal lengths together.
 Training is plain numpy: backpropagation through time with Adam, on a bounded sample of labelled documents.
 
 Defined results: no letter in the text (or a null text) gives ``und`` with score 0; so does an empty training set;
@@ -28,6 +28,10 @@ WINDOW = 16
 UNKNOWN = "und"
 #: Documents and distinct letter runs that training reads at most.
 MOST_DOCUMENTS, MOST_RUNS = 4_000, 200_000
+#: Text bytes whose runs are kept together (or the longest single text).
+SLICE_BYTES = 8 << 20
+#: A language is clear from this share of the way from chance to the median score of held-out documents.
+CLEAR_SHARE = 0.2
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -236,14 +240,31 @@ def predict(documents: DataFrame, net: BiGRU, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shared.value)
         names = np.array([*own.languages, UNKNOWN], object)
-        for batch in batches:
-            best, score = score_texts(own, batch[text])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+        for whole in batches:
+            for b, e in slices(whole[text], SLICE_BYTES):
+                batch = whole.slice(b, e - b)
+                best, score = score_texts(own, batch[text])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     kept = documents.drop("lang_pred", "score")
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
+def least_score(scored: DataFrame, languages: int, share: float = CLEAR_SHARE) -> float:
+    """The score from which on a language is clear: ``share`` of the way from chance to the median score of ``scored``.
+
+    ``scored`` are held-out documents in learned languages; scores are counted in thousandths, so the median covers all of
+    them.  Without any the way leads to 1; with fewer than two languages nothing is unclear.
+    """
+    if languages < 2:
+        return 0.0
+    counts = sorted(map(tuple, scored.where(F.col("lang_pred") != UNKNOWN).groupBy(F.floor(F.col("score") * 1000).alias("part")).count().collect()))
+    n = np.cumsum([c for _, c in counts])
+    middle = counts[int(np.searchsorted(n, n[-1] / 2))][0] / 1000 if counts else 1.0
+    chance = 1 / languages
+    return chance + share * max(0.0, middle - chance)
+
+
 def fold(key: str, folds: int) -> Column:
     """CRC-32 of the id as text, by the number of folds."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")) % folds
