@@ -261,6 +261,38 @@ def test_warc(spark):
     assert sorted((r["record_type"], r["refers_to"] or 0) for r in repeated) == [("response", 0), ("response", 0), ("revisit", 1)]
 
 
+def test_archives_by_bytes(spark):
+    """Archives end by bytes, a longer record has its own; copies before and after in any order of ids refer to the smallest."""
+    rng = random.Random(16)
+    rows = [(i, "u", "x" * rng.randrange(3000) if i % 3 else "same") for i in rng.sample(range(300), 300)] + [(900, "u", "y" * 50_000), (901, "u", "y" * 50_000), (None, "u", "same")]
+    folder = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), archive_bytes=20_000)
+    got = warc.read_archives(spark, folder).collect()
+    held = collections.Counter()
+    for r in got:
+        held[r["file"]] += len(r["payload"].encode())
+    assert len(got) == len(rows) and len(held) > 10
+    assert all(n <= 20_000 or n == 50_000 for n in held.values())
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h] = min(i, first.get(h, i))
+    expected = sorted((i or -1, h if first[h] == i else "", "response" if first[h] == i else "revisit") for i, _, h in rows)
+    assert sorted((r["page_id"] or -1, r["payload"], r["record_type"]) for r in got) == expected
+
+
+def test_copies_dropped_early(monkeypatch):
+    """Only pages that a smaller id with the same payload precedes lose their html, however few digests are remembered."""
+    rows = [(5, "a"), (3, "a"), (4, "a"), (None, "a"), (3, "a"), (None, "b"), (7, "b"), (8, ""), (9, None)]
+    page, html = (list(x) for x in zip(*rows, strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(["u"] * 9), pa.array(html, pa.string())], ["page_id", "url", "html"])
+    kept = lambda least: [x for b in warc._without_copies(iter([batch.slice(0, 4), batch.slice(4, 0), batch.slice(4)]), least) for x in b["html"].to_pylist()]
+    assert kept(0) == ["a", "a", None, None, "a", "b", "b", "", None]
+    assert kept(1) == ["a", "a", None, None, "a", "b", "b", "", ""]
+    assert kept(2) == ["a", "a", "a", "a", "a", "b", "b", "", ""]
+    monkeypatch.setattr(warc, "MOST_DIGESTS", 1)
+    assert kept(0) == ["a", "a", None, None, "a", "b", "b", "", None]
+
+
 def test_loser_tree():
     rng = random.Random(5)
     for k in range(1, 9):
@@ -664,6 +696,43 @@ def test_language_id(spark):
     assert langid.score_texts(net, pa.array(["kalomi " * 3000]))[0][0] == 0
 
 
+def test_least_score(spark):
+    frame = lambda scores: spark.createDataFrame([("aa", float(x)) for x in scores] + [("und", 0.0)], "lang_pred string, score double")
+    assert abs(langid.least_score(frame([0.9] * 9 + [0.1]), 4) - (0.25 + 0.2 * 0.65)) < 1e-3
+    assert abs(langid.least_score(frame([]), 2) - 0.6) < 1e-9 and langid.least_score(frame([0.9]), 1) == 0
+    assert langid.least_score(frame([0.2]), 4) == 0.25
+
+
+@pytest.mark.parametrize("languages", [2, 3])
+def test_unclear_languages_are_rejected(spark, languages):
+    """Texts that are clear in no language go, clean ones stay, and columns with names of the stage's own come back."""
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    letters = {"aa": "kalomirt", "bb": "schungew", "cc": "dfvxyzpb", "zz": "j"}
+    known = sorted(letters)[:languages]
+    langs = [known[i % languages] for i in range(120)]
+    word = lambda x: "".join(rng.choice(letters[x]) for _ in range(rng.randrange(3, 8)))
+    texts = [" ".join(word(x) for _ in range(20)) for x in langs]
+    # as much of each language as of the others: clear in none
+    mixed = [" ".join(word(known[k % languages]) for k in range(20 * languages)) for _ in range(5)] if languages == 3 else []
+    rows = [(i, t, x, 7, "own", i) for i, (t, x) in enumerate(zip(texts, langs, strict=True))] + [(1000 + i, t, None, 7, "own", 0) for i, t in enumerate([*mixed, "123", None])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, lang_pred string, known int")
+    out = corpus_pipeline.language_id(spark, frame, "")
+    assert out.columns == frame.columns
+    assert sorted(map(tuple, out.collect())) == sorted(rows[:120])
+
+
+def test_sampled(spark):
+    """The rows of the smallest hashes, also where ids repeat often."""
+    ids = [1] * 500 + list(range(2, 300)) + [None] * 3
+    rows = spark.createDataFrame([(i,) for i in ids], "id long")
+    order = rows.select("id", F.xxhash64("id").alias("h")).orderBy("h").collect()
+    for most in (1, 7, 299, 600, 801, 2000):
+        assert sorted(str(r["id"]) for r in blocks.sampled(rows, "id", most).collect()) == sorted(str(r["id"]) for r in order[:most])
+    assert blocks.sampled(rows.limit(0), "id", 5).collect() == []
+
+
 # ---- queries and pipeline
 
 
