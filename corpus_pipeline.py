@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 from seekframe.llm import decontam, langid, ngram_join, secrets, sentencepiece
 from seekframe.llm.blocks import read, written
 
-#: A document whose best language gets less than this mean probability over its positions is rejected (chance is one in four).
-LEAST_LANGUAGE_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those without a letter or a clear language go. Learnt outside fold 2 of 4."""
-    net = langid.fit(docs.where(langid.fold("doc_id", 4) != 2))
-    scored = langid.predict(docs, net)
-    return scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    """Documents in a known language: those without a letter or a clear language go. Learnt outside fold 2 of 4.
+
+    What is clear follows from the number of languages learnt and the scores of the labelled documents in fold 2.
+    """
+    held_out = langid.fold("doc_id", 4) == 2
+    net = langid.fit(docs.where(~held_out))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))  # whatever their names
+    row = docs.select("text", rest.alias("row"), (held_out & F.col("lang").isin(net.languages)).alias("known"))
+    scored = written(langid.predict(row, net), "languages")
+    least = langid.least_score(scored.where("known"), len(net.languages))
+    return scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)).select(*("text" if c == "text" else f"row.`{c}`" for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
