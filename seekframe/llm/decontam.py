@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LETTER_BREAK, Words, raw, shingle_hashes, slices
+from .blocks import LETTER_BREAK, Words, mapped, raw, shingle_hashes, slices
 
 #: Passage length and step in words, n of the verifying n-grams, items of a block, items of a chunk.
 WINDOW, STRIDE, N, BLOCK, CHUNK = 48, 24, 4, 8, 20_000
@@ -266,7 +266,7 @@ def find(documents: DataFrame, benchmark: DataFrame, question: float = QUESTION,
                 columns = list(zip(*((ids[r].as_py(), *x) for r, *x in found), strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _HIT.split(", ")])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _HIT)
+    return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _HIT)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, question: float = QUESTION, answer: float = ANSWER, chunk: int = CHUNK) -> DataFrame:
@@ -280,4 +280,4 @@ def clean(documents: DataFrame, benchmark: DataFrame, question: float = QUESTION
             bad = {r for index in indexes for r, *_ in matches(index, batch["text"], question, answer)}
             yield batch if not bad else batch.filter(pa.array([i not in bad for i in range(batch.num_rows)]))
 
-    return documents.mapInArrow(run, documents.schema)
+    return mapped(documents, run, documents.schema)

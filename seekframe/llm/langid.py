@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .blocks import LETTER_BREAK, letter_runs, raw, sampled, slices
+from .blocks import LETTER_BREAK, letter_runs, mapped, raw, sampled, slices
 
 WINDOW = 16
 UNKNOWN = "und"
@@ -211,7 +211,7 @@ def fit(labelled: DataFrame, most_documents: int = MOST_DOCUMENTS, most_runs: in
     usable = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     ids = sampled(usable.select("doc_id"), "doc_id", most_documents).distinct()  # at most most_documents ids
     rows = usable.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang")
-    counts = rows.select("lang", "text").mapInArrow(_counted, "lang string, run binary, n long").groupBy("run").agg(F.collect_list(F.struct("lang", "n")).alias("seen"))
+    counts = mapped(rows.select("lang", "text"), _counted, "lang string, run binary, n long").groupBy("run").agg(F.collect_list(F.struct("lang", "n")).alias("seen"))
     # as Arrow columns, not rows: a few megabytes on the driver
     table = sampled(counts, "run", most_runs).select("run", F.explode("seen").alias("s")).select("run", "s.lang", "s.n").toArrow()
     languages = sorted(table["lang"].unique().to_pylist())
@@ -247,7 +247,7 @@ def predict(documents: DataFrame, net: BiGRU, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     kept = documents.drop("lang_pred", "score")
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return mapped(kept, run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def least_score(scored: DataFrame, languages: int, share: float = CLEAR_SHARE) -> float:

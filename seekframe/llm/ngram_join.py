@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Words, mix, raw, shingle_hashes, slices, written
+from .blocks import Words, mapped, mix, raw, shingle_hashes, slices, written
 
 #: Bits of the frequency sketch and of the candidate bitmap, and bins of a suffix histogram.
 SKETCH_BITS, BITMAP_BITS, BINS = 20, 23, 256
@@ -378,7 +378,7 @@ def _texts(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             s = np.unique(_slots(batch["doc_id"].to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array((s // per).astype(np.int32)), pa.array((s % per).astype(np.int32))], ["chunk", "slot"])
 
-    rows = ids.mapInArrow(slotted, "chunk int, slot int").distinct().groupBy("chunk").applyInArrow(_bitmap, "chunk int, bits binary").collect()
+    rows = mapped(ids, slotted, "chunk int, slot int").distinct().groupBy("chunk").applyInArrow(_bitmap, "chunk int, bits binary").collect()
     bits = np.zeros((_CHUNKS, per // 8), np.uint8)
     for r in rows:
         bits[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
@@ -393,7 +393,7 @@ def _texts(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 texts = [zstandard.compress(t.encode(), 3) for t in some.slice(b, len(sets)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids_of.slice(b, len(sets)), pa.array([_fingerprint(s)[0] for s in sets], pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "set", "packed"])
 
-    found = documents.where("doc_id is not null and text is not null").mapInArrow(picked, "doc_id long, set long, packed binary")
+    found = mapped(documents.where("doc_id is not null and text is not null"), picked, "doc_id long, set long, packed binary")
     return found.groupBy("doc_id", "set").agg(F.min("packed").alias("packed"))  # rows that repeat are one
 
 
@@ -453,7 +453,7 @@ def _candidates(docs: DataFrame, nodes: DataFrame, classes, width: int, percent:
     spark = docs.sparkSession
     total = nodes.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100D) + 1"))).first()[0] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART))
-    blobs = docs.mapInArrow(_prefixes(width, percent, classes, n_parts), "part int, blob binary")
+    blobs = mapped(docs, _prefixes(width, percent, classes, n_parts), "part int, blob binary")
     both = written(blobs.groupBy("part").applyInArrow(lambda t: _entries(t, classes.value), _ENTRY), "join-entries", "head")
     firsts = both.where("head").groupBy("same").agg(F.min(F.struct("rank", "hash")).alias("f")).select("f.hash")
     entries = both.where("not head").select("hash", "set", "place").join(firsts, "hash", "left_semi")
@@ -470,7 +470,7 @@ def _with_first(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     near = met.select(*pair).where(_passing("nx", "px", "ny", "py", percent)).select("x", "y", "nx", "ny").distinct()
     bins = nodes.select("node", "bins")
     given = near.join(bins.toDF("x", "bx"), "x").join(bins.toDF("y", "by"), "y")
-    return given.mapInArrow(_kept(percent), "a long, b long")
+    return mapped(given, _kept(percent), "a long, b long")
 
 
 def _passing(n1: str, p1: str, n2: str, p2: str, percent: int) -> Column:
@@ -496,7 +496,7 @@ def _between_groups(buckets: DataFrame, groups: DataFrame, nodes: DataFrame, per
     met = met.withColumn("blocks", F.expr("cast(least(own, other) as long) * blocks + greatest(own, other)"))
     # hashes of one family of nodes have the same smallest id: a pair that comes under many of them is one pair in its task
     ordered = met.select("hash", "blocks", "own", "node", "n", "place", "grp", "bins", "lead").repartition("lead", "blocks").sortWithinPartitions("hash", "blocks", "n", "node")
-    return ordered.mapInArrow(_pairs(percent), "a long, b long")
+    return mapped(ordered, _pairs(percent), "a long, b long")
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
@@ -509,7 +509,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, width: int
     needed = nodes.select(F.col("node").alias("b"), F.col("stands").alias("doc_id"), F.col("low").alias("set")).join(pairs.select(F.explode(F.array("a", "b")).alias("b")).distinct(), "b")
     # texts move once to meet their rows, and rows take them to their chunk
     full = rows.join(needed, "b").join(_texts(docs, needed.select("doc_id"), width), ["doc_id", "set"]).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "own", "b")
-    return written(full.select("a", "chunk", "own", "b", "packed").mapInArrow(_verified(width, percent), "a long, b long"), "join-links")
+    return written(mapped(full.select("a", "chunk", "own", "b", "packed"), _verified(width, percent), "a long, b long"), "join-links")
 
 
 def text_print(text: Column) -> Column:
@@ -524,7 +524,7 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80, detail: bool =
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_print(F.col("text")).alias("print"))
-    both = written(docs.mapInArrow(_sets(width), _SETS).withColumn("sketch", F.col("n") < 0), "join-sets", "sketch")
+    both = written(mapped(docs, _sets(width), _SETS).withColumn("sketch", F.col("n") < 0), "join-sets", "sketch")
     sets = both.where("not sketch").drop("sketch")
     classes = spark.sparkContext.broadcast(rarity(both.where("sketch").select("n", "bins")))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Words, raw, sampled, slices
+from .blocks import Words, mapped, raw, sampled, slices
 
 # Fixed patterns, with the least length of the value or match.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -283,7 +283,7 @@ def fit(documents: DataFrame, most_documents: int = MOST_DOCUMENTS, most_strings
 
     ids = sampled(documents.select("doc_id"), "doc_id", most_documents).distinct()
     rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    values = rows.mapInArrow(_labelled, "kind string, value binary").distinct().withColumn("h", F.xxhash64("value"))
+    values = mapped(rows, _labelled, "kind string, value binary").distinct().withColumn("h", F.xxhash64("value"))
     first = values.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))).where(F.col("n") <= most_strings)
     found: dict[str, list[bytes]] = {}
     for r in first.orderBy("kind", "n").collect():
@@ -309,7 +309,7 @@ def find(documents: DataFrame, model: Model) -> DataFrame:
             digest = pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x in base], pa.string())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *counts, digest, pa.array(map(joined, found), pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return mapped(documents.select("doc_id", "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(documents: DataFrame, model: Model, mark: str = "[SECRET]") -> DataFrame:
@@ -337,4 +337,4 @@ def redact(documents: DataFrame, model: Model, mark: str = "[SECRET]") -> DataFr
                 batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
             yield batch
 
-    return documents.mapInArrow(run, documents.schema)
+    return mapped(documents, run, documents.schema)

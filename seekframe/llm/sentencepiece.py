@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .blocks import _INVERSE, _MULTIPLIER, _SYMBOLS, Words, _power_table, mix, raw, slices
+from .blocks import _INVERSE, _MULTIPLIER, _SYMBOLS, Words, _power_table, mapped, mix, raw, slices
 
 MARK = 0xFF  # stands for U+2581: no byte of UTF-8
 MODEL = os.environ.get("SEEKFRAME_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -538,7 +538,7 @@ def encode(documents: DataFrame, path: str = MODEL, text: str = "text", out: str
             for b, e in slices(whole[text], TEXTS):
                 yield _encoded(pieces, whole.slice(b, e - b), text, out)
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, _PIECES)]))
+    return mapped(kept, run, StructType([*kept.schema.fields, StructField(out, _PIECES)]))
 
 
 def decode(rows: DataFrame, path: str = MODEL, ids: str = "pieces", out: str = "decoded") -> DataFrame:
@@ -551,7 +551,7 @@ def decode(rows: DataFrame, path: str = MODEL, ids: str = "pieces", out: str = "
             for b, e in _id_slices(whole[ids]):
                 yield _decoded(pieces, whole.slice(b, e - b), ids, out)
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, _TEXT)]))
+    return mapped(kept, run, StructType([*kept.schema.fields, StructField(out, _TEXT)]))
 
 
 def round_trip(documents: DataFrame, path: str = MODEL, text: str = "text", ids: str = "pieces", out: str = "decoded", merges: bool | None = None) -> DataFrame:
@@ -566,4 +566,4 @@ def round_trip(documents: DataFrame, path: str = MODEL, text: str = "text", ids:
                 for c, d in _id_slices(coded[ids]):
                     yield _decoded(pieces, coded.slice(c, d - c), ids, out)
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(ids, _PIECES), StructField(out, _TEXT)]))
+    return mapped(kept, run, StructType([*kept.schema.fields, StructField(ids, _PIECES), StructField(out, _TEXT)]))

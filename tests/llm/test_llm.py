@@ -819,3 +819,31 @@ def test_whole_queries_run(spark, k):
     name = next(n for n in queries.QUERIES if n.startswith(f"op{k}_"))
     ids = sorted(r["doc_id"] for r in queries.QUERIES[name](spark, SF).select("doc_id").collect())
     assert ids == sorted(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    """Long texts come in batches of a few megabytes, though far fewer than 10,000 rows; a session's own bound stays."""
+    frame, log = type(spark.range(0)), str(tmp_path / "batches")
+
+    def seen(self, run, *rest, plain=frame.mapInArrow):
+        def counted(batches):
+            for batch in run(b for b in batches if open(log, "a").write(f"{b.num_rows} {b.nbytes}\n")):
+                yield batch
+
+        return plain(self, counted, *rest)
+
+    monkeypatch.setattr(frame, "mapInArrow", seen)
+    rows = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" ")), 30_000).alias("text"))
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for own in (None, str(1 << 20)):
+        spark.conf.set(key, own) if own else spark.conf.unset(key)
+        try:
+            for step in (lambda: langid.predict(rows, langid.BiGRU(["de", "en"])), lambda: decontam.clean(rows, bench), lambda: secrets.redact(rows, secrets.Model({}, []))):
+                open(log, "w").close()
+                assert step().count() == 200
+                sizes = [tuple(map(int, x.split())) for x in open(log)]
+                assert sum(n for n, _ in sizes) == 200
+                assert max(b for _, b in sizes) < int(own or 8 << 20) + (1 << 20)
+        finally:
+            spark.conf.unset(key)
